@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from graphloom.llm import packing, secrets, tokens, urls, warc
+from graphloom.llm import packing, secrets, substrings, tokens, urls, warc
 
-MODULES = (tokens, warc, packing, urls, secrets)
+MODULES = (substrings, tokens, warc, packing, urls, secrets)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in getattr(module, "ORACLE_SQL", {}).items()}
