@@ -91,9 +91,11 @@ def votes(c: Counter) -> str:
     return "".join("b" if share(c) >= limit else "-" for _, share, limit in FLAWS) + "".join("g" if test(c) else "-" for _, test in MERITS)
 
 
-def expectation_maximisation(patterns: dict[str, int], rounds: int = 100, guess: float = 0.9, weight: float = 10.0) -> tuple[np.ndarray, dict[str, float]]:
+def expectation_maximisation(patterns: dict[str, int], rounds: int = 100, guess: float = 0.9, weight: float = 0.5) -> tuple[np.ndarray, dict[str, float]]:
     """(accuracy of each labeller, posterior probability of good for each pattern). Both classes are as likely beforehand;
-    accuracies start from ``guess``, which counts as ``weight`` votes; a pattern without votes stays at one half."""
+    accuracies start from ``guess``, which counts as ``weight`` times as many votes as
+    the labeller gave, and stay at one half or above: a labeller is never
+    read the other way round. A pattern without votes stays at one half."""
     keys = sorted(patterns)
     n = np.array([patterns[k] for k in keys], dtype=float)
     sign = np.array([[{"b": -1, "g": 1, "-": 0}[v] for v in k] for k in keys], dtype=float).reshape(len(keys), LABELLERS)
@@ -101,8 +103,9 @@ def expectation_maximisation(patterns: dict[str, int], rounds: int = 100, guess:
     for _ in range(rounds):
         good = 1 / (1 + np.exp(-np.clip(sign @ np.log(accuracy / (1 - accuracy)), -50, 50)))
         right = np.where(sign > 0, good[:, None], np.where(sign < 0, 1 - good[:, None], 0))
-        new = (n @ right + guess * weight) / (n @ np.abs(sign) + weight)
-        new = np.clip(new, 0.01, 0.999)
+        gave = n @ np.abs(sign)
+        new = (n @ right + guess * (weight * gave + 1)) / (gave + weight * gave + 1)
+        new = np.clip(new, 0.5, 0.999)
         done = np.abs(new - accuracy).max() < 1e-9
         accuracy = new
         if done:
