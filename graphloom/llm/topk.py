@@ -150,7 +150,7 @@ def op4_kd_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {"op4_kd_tree_top_k": op4_kd_tree_top_k}
 ORACLE_SQL = {
     "op4_kd_tree_top_k": """
-        WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings WHERE embedding IS NOT NULL),
         s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
         r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10"""
