@@ -7,10 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def jaro_winkler(a: str, b: str) -> float:
-    """Winkler's prefix of at most four characters at 0.1 each, whatever the similarity without it."""
+    """Half transpositions are rounded down; a prefix of at most four characters counts 0.1 each, whatever the similarity
+    without it."""
     if a == b:
         return 1.0
     if not a or not b:
@@ -26,7 +28,7 @@ def jaro_winkler(a: str, b: str) -> float:
     if not hits:
         return 0.0
     m = len(hits)
-    swapped = sum(x != y for x, y in zip(hits, (y for y, u in zip(b, used) if u))) / 2
+    swapped = sum(x != y for x, y in zip(hits, (y for y, u in zip(b, used) if u))) // 2
     score = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
     prefix = 0
     for x, y in zip(a[:4], b[:4]):
@@ -36,7 +38,7 @@ def jaro_winkler(a: str, b: str) -> float:
     return score + prefix * 0.1 * (1 - score)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def jaro_winkler_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype=float)

@@ -109,8 +109,7 @@ class Compiler:
             raise ValueError(f"a template without a placeholder: {t.template}")
         out = F.array(F.lit(parts[0]))
         for reference, rest in zip(parts[1::2], parts[2::2]):
-            values = F.transform(self._values(df, reference), url_encode)
-            out = F.flatten(F.transform(out, lambda a, v=values, r=rest: F.transform(v, lambda b: F.concat(a, b, F.lit(r)))))
+            out = _extended(out, F.transform(self._values(df, reference), url_encode), rest)
         return out
 
     def _iri(self, c: Column) -> Column:
@@ -139,7 +138,7 @@ class Compiler:
     def compile(self, m: TriplesMap) -> DataFrame:
         df = self.rows(m)
         own = self._graph(df, m.graph)
-        groups = [F.transform(F.array(*[F.lit(c) for c in m.classes]), lambda c: F.struct(F.lit(RDF_TYPE).alias("p"), c.alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"), own.alias("g")))] if m.classes else []
+        groups = [F.transform(F.array(*[F.lit(c) for c in m.classes]), lambda c: F.struct(F.lit(RDF_TYPE).alias("p"), c.alias("o"), F.lit("iri").alias("o_kind"), F.lit("").alias("o_dt"), F.lit("").alias("o_lang"), own.alias("g"))).cast(_EDGE_TYPE)] if m.classes else []
         joins = []
         for po in m.pairs:
             g = self._graph(df, po.graph) if po.graph else own
@@ -150,12 +149,12 @@ class Compiler:
                         joins.append((ps, o, g))
                         continue
                     os = self.terms(df, o)
-                    groups.append(F.flatten(F.transform(ps, lambda a, os=os, g=g: F.transform(os, lambda b: F.struct(a["o"].alias("p"), *[b[c].alias(c) for c in OBJECT], g.alias("g"))))))
+                    groups.append(_paired(ps, os, g))
         s = self.subjects(df, m)
         out = []
         if groups:
-            rows = df.select(F.explode(s).alias("_s"), F.concat(*groups).alias("_e")).select("_s", F.explode("_e").alias("_e"))
-            out.append(rows.select(F.col("_s.o").alias("s"), F.col("_s.o_kind").alias("s_kind"), "_e.p", *[f"_e.{c}" for c in OBJECT], "_e.g"))
+            rows = df.select(F.explode(_crossed(s, F.concat(*groups))).alias("_t"))
+            out.append(rows.select(*[F.col("_t")[c].alias(c) for c in COLUMNS]))
         for ps, ref, g in joins:
             out.append(self._joined(df, s, ps, ref, g))
         result = out[0]
@@ -167,14 +166,15 @@ class Compiler:
         parent = next(x for x in self.maps if x.name == ref.parent)
         pdf = self.rows(parent)
         if ref.same_row:
-            both = df.select(F.explode(s).alias("_s"), ps.alias("_p"), g.alias("g"), self.subjects(df, parent).alias("_o")).withColumn("_o", F.explode("_o"))
+            both = df.select(s.alias("_s"), ps.alias("_p"), g.alias("g"), self.subjects(df, parent).alias("_o"))
         else:
             child = df.select(s.alias("_s"), ps.alias("_p"), g.alias("g"), *[F.col(f"`{c}`").cast("string").alias(f"_k{k}") for k, (c, _) in enumerate(ref.conditions)])
             other = pdf.select(self.subjects(pdf, parent).alias("_o"), *[F.col(f"`{p}`").cast("string").alias(f"_k{k}") for k, (_, p) in enumerate(ref.conditions)])
             # without conditions the document asks for every parent
             both = child.join(other, [f"_k{k}" for k in range(len(ref.conditions))]) if ref.conditions else child.crossJoin(other)
-            both = both.withColumn("_s", F.explode("_s")).withColumn("_o", F.explode("_o"))
-        return both.withColumn("_p", F.explode("_p")).select(F.col("_s.o").alias("s"), F.col("_s.o_kind").alias("s_kind"), F.col("_p.o").alias("p"), *[F.col(f"_o.{c}").alias(c) for c in OBJECT], "g")
+        rows = both.select(F.explode(_crossed(F.col("_s"), _paired(F.col("_p"), F.col("_o"), F.col("g")))).alias("_t"))
+        return rows.select(*[F.col("_t")[c].alias(c) for c in COLUMNS])
+
 
     def run(self) -> DataFrame:
         """All maps, as a set of triples."""
@@ -185,6 +185,23 @@ class Compiler:
         return out.distinct()
 
 
+def _crossed(subjects: Column, edges: Column) -> Column:
+    """Every subject with every edge."""
+    row = lambda s, e: F.struct(s["o"].alias("s"), s["o_kind"].alias("s_kind"), e["p"].alias("p"), *[e[c].alias(c) for c in OBJECT], e["g"].alias("g"))
+    return F.flatten(F.transform(subjects, lambda s: F.transform(edges, lambda e: row(s, e))))
+
+
+def _extended(texts: Column, values: Column, rest: str) -> Column:
+    """Every text followed by every value and ``rest``."""
+    return F.flatten(F.transform(texts, lambda a: F.transform(values, lambda b: F.concat(a, b, F.lit(rest)))))
+
+
+def _paired(ps: Column, os: Column, g: Column) -> Column:
+    """Every predicate with every object."""
+    return F.flatten(F.transform(ps, lambda a: F.transform(os, lambda b: F.struct(a["o"].alias("p"), *[b[c].alias(c) for c in OBJECT], g.alias("g"))))).cast(_EDGE_TYPE)
+
+
+_EDGE_TYPE = "array<struct<p:string,o:string,o_kind:string,o_dt:string,o_lang:string,g:string>>"
 _OBJECT_TYPE = "struct<o:string,o_kind:string,o_dt:string,o_lang:string>"
 
 

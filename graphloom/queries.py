@@ -380,10 +380,10 @@ def topo_adjacent_zone(spark, sf_dir):
     return topology.adjacent_spaces(rows)
 
 
-@query("SELECT l_orderkey AS opening, arg_max(l_partkey, l_linenumber) AS host FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey AS opening, arg_max(l_partkey, l_linenumber::BIGINT * 1000000000 + l_partkey) AS host FROM lineitem GROUP BY l_orderkey")
 def topo_host_chain(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("opening"), F.col("l_partkey").alias("host"), "l_linenumber")
-    return G.last_wins(rows, ["opening"], F.col("l_linenumber")).select("opening", "host")
+    return G.last_wins(rows, ["opening"], F.struct("l_linenumber", "host")).select("opening", "host")
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -559,7 +559,7 @@ def chunk_round_robin(spark, sf_dir):
     return rows.groupBy((F.col("chunk") % 3).alias("core")).agg(F.count("*").alias("lines"))
 
 
-@query(f"SELECT '{B}nation/' || n_nationkey AS s, 'ex:nation_' || n_nationkey || ' a ex:Nation ;' || chr(10) || '    ex:name \"' || n_name || '\", \"' || n_nationkey || '\"^^xsd:integer .' AS block FROM nation")
+@query(f"SELECT '{B}nation/' || n_nationkey AS s, 'ex:nation_' || n_nationkey || ' ex:name \"' || n_name || '\", \"' || n_nationkey || '\"^^xsd:integer ;' || chr(10) || '    a ex:Nation .' AS block FROM nation")
 def turtle_grouped(spark, sf_dir):
     s = F.concat(F.lit(B + "nation_"), F.col("n_nationkey"))
     rows = G.expand(table(spark, sf_dir, "nation"), s, [(TYPE, G.iri(B + "Nation")), (B + "name", G.literal(F.col("n_name"))), (B + "name", G.literal(F.col("n_nationkey"), T.XSD_INTEGER)), (B + "name", G.literal(F.col("n_name")))])
@@ -615,10 +615,10 @@ def triangles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 MESH_SQL = """
-    WITH t AS (SELECT label AS element_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings),
-    v AS (SELECT element_id, e[1] ax, e[2] ay, e[3] az, e[4] bx, e[5] \"by\", e[6] bz, e[7] cx, e[8] cy, e[9] cz FROM t),
-    n AS (SELECT *, (\"by\"-ay)*(cz-az)-(bz-az)*(cy-ay) nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) ny, (bx-ax)*(cy-ay)-(\"by\"-ay)*(cx-ax) nz,
-        (ax*(\"by\"*cz-bz*cy) + ay*(bz*cx-bx*cz) + az*(bx*cy-\"by\"*cx)) / 6 AS vol FROM v)
+    WITH t AS (SELECT label AS element_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+    v AS (SELECT element_id, e[1] ax, e[2] ay, e[3] az, e[4] bx, e[5] b2, e[6] bz, e[7] cx, e[8] cy, e[9] cz FROM t),
+    n AS (SELECT *, (b2-ay)*(cz-az)-(bz-az)*(cy-ay) nx, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) ny, (bx-ax)*(cy-ay)-(b2-ay)*(cx-ax) nz,
+        (ax*(b2*cz-bz*cy) + ay*(bz*cx-bx*cz) + az*(bx*cy-b2*cx)) / 6 AS vol FROM v)
     SELECT element_id, round(abs(sum(vol)), 6) AS volume, round(sum(sqrt(nx*nx+ny*ny+nz*nz)/2), 6) AS area, count(*) AS triangles,
         round(max(greatest(ax, bx, cx)) - min(least(ax, bx, cx)), 6) AS extent_x, round(sum(abs(nx) / 4), 6) AS shadow_x FROM n GROUP BY 1"""
 
