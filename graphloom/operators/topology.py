@@ -11,15 +11,14 @@ from pyspark.sql import functions as F
 def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 100) -> DataFrame:
     """(root, node, depth) of every node reachable from ``roots`` (root) over ``edges`` (parent, child), at its least depth.
 
-    Breadth first, one join a level; nodes seen before end their branch, so cycles do. Every few levels the lineage is cut
-    by a checkpoint, for which the session needs a checkpoint folder."""
-    edges = edges.select("parent", "child").distinct()
-    found = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    Breadth first, one join a level; nodes seen before end their branch, so cycles do. Each level is checkpointed, for which
+    the session needs a checkpoint folder."""
+    edges = edges.select("parent", "child").distinct().checkpoint()
+    found = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
     front, seen = found, found
     for depth in range(1, most_depth + 1):
-        new = front.join(edges, front.node == edges.parent).select("root", F.col("child").alias("node")).distinct()
-        front = new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        front = front.checkpoint() if depth % 4 == 0 else front.persist()
+        new = front.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
+        front = new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
