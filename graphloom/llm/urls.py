@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
+from graphloom.llm.sampling import by_hash
 
 # Verdict, host, path of each rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
@@ -144,9 +145,12 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     counted = labelled.select("y", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.crc32(v.cast("binary")) % SUFFIX_BUCKETS).alias("bucket")) for k, v in keys.items()])).alias("at")).groupBy("at").agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
     stats = np.zeros((2, SUFFIX_BUCKETS, 2))
     stats[:, :, 1] = 0.5
-    for r in counted.collect():  # at most 2 * SUFFIX_BUCKETS rows
+    counts = counted.collect()  # at most 2 * SUFFIX_BUCKETS rows
+    for r in counts:
         stats[r["at"]["kind"], r["at"]["bucket"]] = math.log1p(r["n"]), (r["blocked"] + 1) / (r["n"] + 2)
-    sample = labelled.orderBy(F.xxhash64("id", "url"), "id", "url").limit(most_labelled).select("url", "host", "path", "y").collect()
+    total = sum(r["n"] for r in counts if r["at"]["kind"] == 0)
+    sample = by_hash(labelled, total, most_labelled, "id", "url").select("id", "url", "host", "path", "y").collect()
+    sample = sorted(sample, key=lambda r: (str(r["id"]), r["url"]))  # the fit adds in this order
     y = np.array([r["y"] for r in sample], dtype=float)
     model = Boosted().fit(np.array([lexical(r["url"], r["host"], r["path"], stats) for r in sample], dtype=float), y) if len(set(y)) == 2 else None
     only = float(y.mean()) if len(y) else 0.0

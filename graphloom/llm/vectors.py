@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import Forest, components, materialize, table
+from graphloom.llm.sampling import by_hash
 
 PIVOTS, PER_PIVOT, PREFIX, SHARED, BLOCK = 2048, 400, 10, 4, 4096
 
@@ -107,9 +108,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, id_col: str = "
     # -0.0 equals 0.0
     good = good.withColumn("vector", F.transform("vector", lambda x: x + F.lit(0.0)))
     distinct = materialize(good.groupBy("vector").agg(F.min("id").alias("id"), F.count("*").alias("count")), "distinct-vectors")
-    pivots = pivots or min(PIVOTS, max(32, distinct.count() // PER_PIVOT))
+    n = distinct.count()
+    pivots = pivots or min(PIVOTS, max(32, n // PER_PIVOT))
     chosen: dict[int, list] = {}
-    for r in distinct.orderBy(F.xxhash64("id"), "id").limit(pivots).select("vector").collect():
+    for r in by_hash(distinct, n, pivots, "id").select("vector").collect():
         chosen.setdefault(len(r["vector"]), []).append(r["vector"])
     points = {n: unit(np.array(v, dtype=np.float64)) for n, v in chosen.items()}
     indexed = materialize(distinct.mapInArrow(_indexed(points, prefix), "id long, count long, vector array<double>, order array<int>"), "permutations")
