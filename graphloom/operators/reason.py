@@ -66,11 +66,17 @@ class Cardinality:
 
 
 class Reasoner:
-    def __init__(self, triples: DataFrame) -> None:
-        self.triples = triples
+    """``keep``: every part of an expression scans the triples, so they are cached, in memory or on disk; ``close`` drops
+    them."""
+
+    def __init__(self, triples: DataFrame, keep: bool = True) -> None:
+        self.triples = triples = triples.persist() if keep else triples
         self.subjects = triples.select("s").distinct()
         self.universe = triples.select("s").union(triples.where("o_kind = 'iri'").select(F.col("o").alias("s"))).distinct()
 
+    def close(self) -> None:
+        self.triples.unpersist()
+
     def _of(self, p: str) -> DataFrame:
         return self.triples.where(F.col("p") == p)
 
