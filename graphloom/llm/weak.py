@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import WORD, table
+from graphloom.llm.sampling import by_hash
 
 SAMPLE, WIDTH = 4000, 2048
 SAME, RECENT, LINE, ANY = "=", "~", "\n", ""
@@ -158,9 +159,12 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     filled = F.col("text").rlike(WORD)
     counted = texts.where(filled).select(vote("text").alias("votes")).groupBy("votes").count()
-    _, good = expectation_maximisation({r["votes"]: r["count"] for r in counted.collect()})  # at most 2 ** LABELLERS rows
+    patterns = {r["votes"]: r["count"] for r in counted.collect()}  # at most 2 ** LABELLERS rows
+    _, good = expectation_maximisation(patterns)
     shapes = Shapes()
-    rows = [shape_counts(r["text"], shapes) for r in texts.where(filled).orderBy(F.xxhash64("id", "text"), "id").limit(sample).toLocalIterator()]
+    some = by_hash(texts.where(filled), sum(patterns.values()), sample, "id", "text").select(F.col("id").cast("string").alias("id"), "text")
+    # by id, for the fit adds in this order
+    rows = [shape_counts(r["text"], shapes) for r in sorted(some.toLocalIterator(), key=lambda r: (r["id"] or "", r["text"]))]
     rows = [c for c in rows if votes(c).strip("-")]
     y = np.array([good.get(votes(c), 0.5) for c in rows])
     model = Linear().fit(np.stack([hashed(c) for c in rows]), y) if len(rows) and y.min() < 0.5 < y.max() else None
