@@ -170,6 +170,26 @@ def test_pivot_index(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def dense(n, group, cosine):
+    """``n`` unit vectors; the first ``group`` of them have about this cosine with each other."""
+    r = np.random.default_rng(7)
+    x, centre = vectors.unit(r.normal(size=(n, 64))), vectors.unit(r.normal(size=(1, 64)))
+    x[:group] = vectors.unit(cosine**0.5 * centre + (1 - cosine) ** 0.5 * x[:group])
+    return x
+
+
+@pytest.mark.parametrize("cosine", [0.98, 0.9])
+def test_pivot_index_of_a_dense_group(spark, cosine):
+    """As many pivots in the group as a large table gives it."""
+    x = dense(1800, 600, cosine)
+    x[600:700] = vectors.unit(x[:100] + np.random.default_rng(8).normal(size=(100, 64)) * 0.03)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = vectors.near_duplicates(df, pivots=900).collect()
+    count = Counter(k for p in vectors.brute_links(np.arange(len(x)), x, 0.95) for k in p)
+    assert len(count) >= 200 and all(r["n_links"] <= count[r["vec_id"]] for r in got)
+    assert sum(r["n_links"] for r in got) >= 0.99 * sum(count.values())
+
+
 @pytest.mark.parametrize("n", [0, 1, 7, 300])
 def test_kd_tree_top_k(spark, monkeypatch, n):
     monkeypatch.setattr(topk, "SHARD", 100)
