@@ -19,9 +19,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the least id stays."""
-    stay = jaccard.near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of linked documents, the one with the least id stays.
+
+    Documents are told apart by id and text, through a 64-bit hash of both: texts that share an id are documents of their
+    own, and of rows that repeat an id and a text one stays (the least as JSON). Rows without an id link with nothing and
+    all stay."""
+    named = docs.where("doc_id IS NOT NULL").withColumn("__key", F.xxhash64("doc_id", "text"))
+    keys = materialize(named.groupBy("__key").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "document-keys")
+    found = jaccard.near_duplicates(named, "__key").select("__key", "component_id").distinct().join(keys, "__key")
+    stay = found.groupBy("component_id").agg(F.min(F.struct("least", "__key", "rows")).alias("of")).select("of.__key", "of.rows")
+    stay = materialize(stay, "documents-that-stay")
+    kept = named.join(stay.where("rows = 1"), "__key", "left_semi").select(*docs.columns)
+    again = stay.where("rows > 1")
+    if not again.isEmpty():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = named.join(again, "__key", "left_semi").groupBy("__key").agg(F.min_by(row, F.to_json(row)).alias("row"))
+        kept = kept.union(one.select(*[F.col("row")[c].alias(c) for c in docs.columns]))
+    return kept.union(docs.where("doc_id IS NULL"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

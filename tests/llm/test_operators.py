@@ -415,5 +415,21 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in out} == set(state)
 
 
+def test_pipeline_keeps_rows_without_id_and_one_of_repeated_rows(spark):
+    import corpus_pipeline as p
+
+    a, b, c = (" ".join(words(60, k)) for k in (101, 102, 103))
+    rows = [(None, a, "x"), (None, a, "y"), (None, None, "z"), (2, a, "b"), (2, a, "a"), (2, a, "a"), (3, a + " end", "a"), (3, b, "b"), (4, c, "a"), (5, None, "a"), (5, None, "a")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = p.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(None, a, "x"), (None, a, "y"), (None, None, "z"), (2, a, "a"), (3, b, "b"), (4, c, "a"), (5, None, "a")]
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr)
+    passages = p.repeated_passages(spark, got, "")
+    clean = p.secret_scan(spark, passages, "").collect()
+    assert sum(r["doc_id"] is None for r in clean) == sum(r["doc_id"] is None for r in passages.collect()) > 0
+    assert any(r["doc_id"] is None for r in p.pack(spark, spark.createDataFrame(clean, docs.schema), "").collect())
+
+
 def test_registry():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
