@@ -13,10 +13,10 @@ of their own.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter, deque
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -31,14 +31,27 @@ SAME, RECENT, LINE, ANY = "=", "~", "\n", ""
 PLAIN = frozenset(".,;:!?'\"()-–—’“”«»¿¡…")
 
 
+class Kinds(dict):
+    """Code point to what stands for it in a shape."""
+
+    def __missing__(self, point: int) -> str:
+        c = chr(point)
+        self[point] = kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
+        return kind
+
+
+KINDS, RUN = Kinds(), re.compile(r"(.)\1+", re.DOTALL)
+
+
 class Shapes(dict):
-    """Word to shape; bounded."""
+    """Word to shape, of the whole word; bounded, and words of more than 64 characters are not kept."""
 
     def __missing__(self, word: str) -> str:
-        if len(self) >= 200_000:
-            self.clear()
-        kinds = ("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
-        self[word] = shape = "".join(k for k, _ in groupby(kinds))
+        shape = RUN.sub(r"\1", word.translate(KINDS))
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = shape
         return shape
 
 

@@ -300,6 +300,14 @@ def test_quality(spark, sf):
     assert weak.classify(docs.limit(0)).count() == 0
 
 
+def test_shapes_are_of_whole_words():
+    shapes = weak.Shapes()
+    assert shapes["a" * 64 + "#" * 9 + "B7"] == "a#A0" and shapes["é" * 100 + "\u3000" + "Ä" * 100] == "a\u3000A" and not shapes
+    assert shapes["Don't--12\u00b2!!"] == "Aa'a-0!" and len(shapes) == 1
+    text = " ".join(["word" * 16 + "###$$$"] * 9)
+    assert weak.votes(weak.shape_counts(text, weak.Shapes()))[1] == "b"
+
+
 def test_expectation_maximisation_finds_the_bad_labeller():
     r, n = random.Random(1), weak.LABELLERS
     patterns = Counter()
