@@ -1,6 +1,6 @@
 """Secret scans by sliding-window Shannon entropy, in DataFrame functions only.
 
-Base rules are three patterns. Beside them, every run of 24 or more key characters is a candidate string. A window of 20
+Base rules are three patterns. Beside them, every run of 20 (WINDOW) or more key characters is a candidate string. A window of 20
 characters slides over it for each character class (hexadecimal, base 64); counts per character are kept up incrementally:
 one character enters, one leaves, and ``sum c*log2(c)`` changes by the four terms concerned. A candidate whose largest
 windowed entropy reaches the class's threshold is a span, unless the allow list knows it.
@@ -24,20 +24,23 @@ HEX = r"[0-9a-f]+"
 LONG_ACCESS, LONG_HEX = r"AKIA[A-Z0-9]{16,}", r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "entropy")
 #: Candidate strings of the entropy method.
-CANDIDATE = r"[A-Za-z0-9+/=_-]{24,}"
 WINDOW = 20
+CANDIDATE = rf"[A-Za-z0-9+/=_-]{{{WINDOW},}}"
 #: Alphabet of each class, and the bits a character that its windows must reach: a random window of 20 characters has
 #: about 3.5 bits of 16 symbols and 4.1 of 64.
 CLASSES = {"hex": ("0123456789abcdefABCDEF", 3.0), "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 3.6)}
-#: Strings that look random and are not secret: UUIDs, words joined by - _ or /, strings without a digit, dates, one
-#: repeated short unit, and placeholders.
+#: A word of fewer letters than a window, in one case, capitalised or in camel case, or a number.
+PIECE = r"(?:[A-Z]?[a-z]{2,18}(?:[A-Z][a-z]{2,18})*|[A-Za-z]{1,2}|[A-Z]{3,19}|[0-9]+)"
+#: Keys in dash-joined groups of one length: with a digit, or all in capitals.
+GROUPS = "(?:" + "|".join(rf"[A-Za-z0-9]{{{n}}}(?:-[A-Za-z0-9]{{{n}}}){{2,}}" for n in range(4, 9)) + ")"
+#: Whole strings that look random and are not secret: UUIDs, words and numbers joined by - _ / + or = (dates too), numbers,
+#: one repeated short unit, and placeholders. Other strings without a digit are judged by their entropy, as all are.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^[^0-9]*$",
     r"^[0-9]+$",
-    r"^([A-Za-z]+|[0-9]+)([-_/=+]+([A-Za-z]+|[0-9]+))*[-_/=+]*$",
+    rf"^(?!(?=.*[0-9]|[^a-z]*$)(?=.*[A-Za-z]){GROUPS}$)[-_/=+]*(?:{PIECE}(?:[-_/=+]+{PIECE})*[-_/=+]*)?$",
     r"^(.{1,6}?)\1+.{0,6}$",
-    r"(?i)(example|placeholder|changeme|dummy|lorem)",
+    r"(?i)^[-_/=+]*(?:(?:example|placeholder|changeme|dummy|lorem)[0-9]{0,4}[-_/=+]*)+$",
 )
 
 

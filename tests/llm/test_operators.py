@@ -387,6 +387,17 @@ def test_secrets(spark):
     assert secrets.scan(df.limit(0)).count() == 0
 
 
+RANDOM = ["k7Rz2VqLw9XbT4mNc8Yf", "qT7zK1vXb4NpRw8sLd3y", "QhZxKvBnWpMrTyUdFgCljXa", "ABCDE-12345-FGHIJ-67890-KLMNO", "example_key=k7Rz2VqLw9XbT4mNc8YfH3sJ6dGp1ZuA5eQx", "changeme+qT7zK1vXb4NpRw8sLd3yH", "qT7z/K1vXb4NpRw8sLd3ylorem"]
+HARMLESS = ["internationalisation-of-long-words", "path/to/the/quarterly/sales/report", "MAXIMUM_RETRY_COUNT_PER_HOST", "someLongMethodNameForTheThing", "report-2024-01-05-final-version", "example-placeholder_changeme", "dummy1234-lorem-dummy5678", "1234-5678-9012-3456-7890", "-" * 40, "this-that-with-from-have-been", "00000000001111111111"]
+
+
+def test_secrets_beside_allowed_words(spark):
+    """Random strings in short, without digits, in groups or joined to a placeholder are spans, whole; words are none."""
+    df = spark.createDataFrame([(k, f"see {t} there") for k, t in enumerate(RANDOM + HARMLESS)], "doc_id long, text string")
+    got = {r["doc_id"]: [(x["s"], x["e"]) for x in r["spans"]] for r in secrets.scan(df).collect()}
+    assert {t: got[k] for k, t in enumerate(RANDOM + HARMLESS)} == {t: [(4, 4 + len(t))] for t in RANDOM} | {t: [] for t in HARMLESS}
+
+
 def test_window_entropy(spark):
     from pyspark.sql import functions as F
 
