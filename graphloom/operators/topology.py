@@ -3,25 +3,31 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 100) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
     """(root, node, depth) of every node reachable from ``roots`` (root) over ``edges`` (parent, child), at its least depth.
 
-    Breadth first, one join a level; nodes seen before end their branch, so cycles do. Each level is checkpointed, for which
+    Breadth first, one join a level, until a level is empty; nodes seen before end their branch, so cycles do. A level
+    beyond ``most_depth``, if given, is an error. Each level is checkpointed, and what was seen every 16 levels, for which
     the session needs a checkpoint folder."""
     edges = edges.select("parent", "child").distinct().checkpoint()
     found = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct().checkpoint()
     front, seen = found, found
-    for depth in range(1, most_depth + 1):
+    for depth in count(1):
         new = front.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
         front = new.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)).checkpoint()
         if front.isEmpty():
             break
+        if most_depth is not None and depth > most_depth:
+            raise RuntimeError(f"closure goes on beyond depth {most_depth}")
         seen = seen.unionByName(front)
+        if depth % 16 == 0:
+            seen = seen.checkpoint()
     return seen.where("depth > 0")
 
 

@@ -190,6 +190,15 @@ def test_closure_with_cycle(spark, tmp_path):
     assert got == {(k, k) for k in range(1, 11)}
 
 
+def test_closure_of_a_long_chain(spark, tmp_path):
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(str(tmp_path))
+    edges, roots = spark.createDataFrame([(k, k + 1) for k in range(103)], "parent int, child int").coalesce(1), spark.createDataFrame([(0,)], "root int")
+    assert {(r["node"], r["depth"]) for r in topology.closure(edges, roots).collect()} == {(k, k) for k in range(1, 104)}
+    with pytest.raises(RuntimeError, match="depth 3"):
+        topology.closure(edges, roots, most_depth=3)
+
+
 def test_boxes(spark):
     rows = [(1, 0, 2), (2, 1, 3), (3, 2, 4), (4, 5, 6)]
     df = spark.createDataFrame([(i, float(a), float(b), 0.0, 1.0, 0.0, 1.0) for i, a, b in rows], "id int, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double")
