@@ -371,6 +371,14 @@ def bot_closure(spark, sf_dir):
     return topology.closure_sql(spark, edges, part.where("p_partkey % 10 = 1").select(F.col("p_partkey").alias("root")))
 
 
+@query(ORACLE_SQL["bot_closure"].replace(" WHERE p_partkey % 10 = 1", ""))
+def bot_closure_all_parts(spark, sf_dir):
+    """The closure with every part as a root."""
+    part = table(spark, sf_dir, "part")
+    edges = part.where("p_partkey > 1").select(F.expr("p_partkey div 2").alias("parent"), F.col("p_partkey").alias("child"))
+    return topology.closure_sql(spark, edges, part.select(F.col("p_partkey").alias("root")))
+
+
 @query("""
     WITH b AS (SELECT l_suppkey AS space, l_partkey AS element, bool_and(l_returnflag = 'R') AS external FROM lineitem GROUP BY ALL),
     p AS (SELECT DISTINCT x.space AS a, y.space AS b FROM b x JOIN b y ON x.element = y.element AND x.space < y.space AND NOT (x.external AND y.external))
@@ -470,6 +478,16 @@ def match_fuzzy_blocked(spark, sf_dir):
     return matching.fuzzy(asked, index, least=0.9444, ties=0.020001).withColumn("score", F.round("score", 6))
 
 
+@query(ORACLE_SQL["match_fuzzy_blocked"].replace(" FROM customer WHERE c_custkey % 10 = 0)", " FROM customer)"))
+def match_fuzzy_all_customers(spark, sf_dir):
+    """The same with every customer in the index."""
+    c = table(spark, sf_dir, "customer")
+    typo = F.concat(F.substring("c_name", 1, 10), F.substring("c_name", 12, 100))
+    asked = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("cls"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(typo).alias("key"))
+    index = c.select(F.col("c_mktsegment").alias("cls"), F.col("c_name").alias("key"), F.col("c_custkey").cast("string").alias("code"))
+    return matching.fuzzy(asked, index, least=0.9444, ties=0.020001).withColumn("score", F.round("score", 6))
+
+
 # --- sets, windows, order
 
 @query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")

@@ -45,6 +45,15 @@ def test_query(spark, sf, duck, name):
     assert a == b
 
 
+def test_whole_tables_take_part(spark, sf):
+    """Every part with a child is a root; every customer's own code can match."""
+    part, customer = queries.table(spark, sf, "part"), queries.table(spark, sf, "customer")
+    roots = {r[0] for r in queries.QUERIES["bot_closure_all_parts"](spark, sf).select("root").distinct().collect()}
+    assert roots == {r[0] // 2 for r in part.select("p_partkey").collect() if r[0] > 1}
+    codes = {r[0] for r in queries.QUERIES["match_fuzzy_all_customers"](spark, sf).select("code").distinct().collect()}
+    assert codes >= {str(r[0]) for r in customer.where("c_custkey % 3 = 0").select("c_custkey").collect()}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
