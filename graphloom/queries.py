@@ -191,6 +191,15 @@ def rml_map_lineitem(spark, sf_dir):
     return made.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.char_length("s").cast("long")).alias("characters"))
 
 
+@query()
+def rml_map_lineitem_whole(spark, sf_dir):
+    """The same triples with their distinct subjects, and a sum of hashes that needs every subject, predicate, object and
+    datatype. No SQL has this hash; tested on a small table."""
+    m = TriplesMap("lines", "lineitem", Term(template=B + "line/{l_orderkey}-{l_linenumber}"), (B + "Line",), tuple(PredicateObject((Term(constant=B + k),), (Term(reference=c),)) for k, c in LINE_POMS.items()))
+    made = Compiler([m], Tables(spark, sf_dir)).compile(m)
+    return made.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.sum(F.xxhash64("s", "p", "o", "o_dt").cast("decimal(38,0)")).alias("content"))
+
+
 # --- scalar functions, over whole texts
 
 def scalar(name: str, build: Callable, sql: str, source: str = "part", key: str = "p_partkey", column: str = "p_name") -> None:

@@ -54,6 +54,16 @@ def test_whole_tables_take_part(spark, sf):
     assert codes >= {str(r[0]) for r in customer.where("c_custkey % 3 = 0").select("c_custkey").collect()}
 
 
+def test_lineitem_mapping_builds_objects_and_counts_subjects(spark, sf, tmp_path):
+    lines = queries.table(spark, sf, "lineitem").limit(50)
+    lines.union(lines.limit(1)).coalesce(1).write.parquet(f"{tmp_path}/a/lineitem.parquet")
+    a = spark.read.parquet(f"{tmp_path}/a/lineitem.parquet")
+    a.withColumn("l_quantity", (a.l_quantity + 1).cast(a.schema["l_quantity"].dataType)).write.parquet(f"{tmp_path}/b/lineitem.parquet")
+    x, y = ({r["p"]: r for r in queries.rml_map_lineitem_whole(spark, f"{tmp_path}/{k}").collect()} for k in "ab")
+    assert len(x) == 5 and all((r["n"], r["subjects"]) == (51, 50) for r in x.values())
+    assert {p for p in x if x[p]["content"] != y[p]["content"]} == {queries.B + "quantity"}
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
 
