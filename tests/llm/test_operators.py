@@ -452,3 +452,39 @@ def test_pipeline_keeps_rows_without_id_and_one_of_repeated_rows(spark):
 
 def test_registry():
     assert sorted(int(re.match(r"op(\d+)_", k)[1]) for k in QUERIES) == list(range(1, 11))
+
+
+def long_texts(n=1_000_000):
+    r = random.Random(9)
+    base64 = "".join(r.choice(secrets.CLASSES["base64"][0]) for _ in range(n))
+    return {"dashes": "a-1-" * (n // 4), "base64": base64, "spaces": " " * (2 * n), "newlines": "\n" * n, "letter": "x" * (2 * n), "words": "alpha-BETA-" * (n // 11), "tokens": "token=abcdef " * (n // 26), "camel": "AlphaBeta" * (n // 9), "wide": "\U0001f600a" * (n // 4)}
+
+
+def test_secrets_in_long_texts(spark):
+    texts = long_texts()
+    df = spark.createDataFrame([(k, v + " password=abcdefg") for k, v in texts.items()], "doc_id string, text string").repartition(4)
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    for k, v in texts.items():
+        spans = [(x["s"], x["kind"], x["e"]) for x in got[k]]
+        assert spans[-1] == (len(v) + 1, 0, len(v) + 17)
+        assert len(spans) == {"base64": 2, "tokens": 1 + 1_000_000 // 26}.get(k, 1)
+    assert [(x["s"], x["e"]) for x in got["base64"]][0] == (0, 1_000_000)
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(df).collect()}
+    assert clean["wide"] == texts["wide"] + " [SECRET]" and clean["base64"] == "[SECRET] [SECRET]" and clean["spaces"] == texts["spaces"] + " [SECRET]"
+    assert clean["tokens"] == "[SECRET] " * (1_000_000 // 26) + " [SECRET]"
+
+
+def test_redaction_across_parts(spark, monkeypatch):
+    """Spans that overlap, meet, and reach over the borders of parts."""
+    monkeypatch.setattr(secrets, "PART", 7)
+    monkeypatch.setattr(secrets, "BLOCK", 2)
+    texts = SECRETS + RANDOM + ["secret=aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa-k7Rz2VqLw9XbT4mNc8Yf token=abcdef" * 3, "\U0001f600" * 9 + "token=abcdef\U0001f600secret=abcdefg"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in secrets.scan(df).collect()}
+    for r in secrets.redact(df).collect():
+        out, at = "", 0
+        for x in spans[r["doc_id"]]:
+            if x["s"] >= at:
+                out += texts[r["doc_id"]][at : x["s"]] + "[SECRET]"
+            at = max(at, x["e"])
+        assert r["text"] == (None if texts[r["doc_id"]] is None else out + texts[r["doc_id"]][at:])
