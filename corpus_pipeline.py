@@ -14,8 +14,11 @@ ORACLE_SQL = None
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    return weak.classify(docs).where("kept").select(*docs.columns)
+    """Documents that the classifier rejects go, null, empty and blank texts among them. All columns stay as they are, also
+    those named like the classifier's own."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    judged = weak.classify(docs.select("doc_id", "text", row)).where("kept")
+    return judged.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words covered by a 50-word passage of a document with a smaller id go, and documents left without words."""
+    """Words covered by a 50-word passage of a document with a smaller id go, and documents left without words. A text that
+    loses words keeps the others joined by one space; all other texts stay as they are, null and empty ones and those of
+    rows without an id among them. Rows that repeat an id do not remove each other's words."""
     out = substrings.remove_repeats(docs)
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     rows = out.where("n_removed = 0 OR n_removed < n_words").withColumn("text", text)
@@ -47,12 +52,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced by a mark."""
+    """Secrets are replaced by a mark; rows and other columns stay, null and empty texts as they are."""
     return _with_length(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token sequences."""
+    """Pieces of token sequences; a null or empty text is the end id alone."""
     return packing.pack(docs, default_vocabulary())
 
 
