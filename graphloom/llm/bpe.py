@@ -26,6 +26,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 PIECE = 256
 #: Pre-tokens in each of the cache's two generations, each of at most CACHED_LENGTH characters.
 CACHED, CACHED_LENGTH = 200_000, 48
+#: Buffers of the transducer whose tokens are remembered.
+BUFFERS = 2048
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,13 +38,28 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
+def check(spec: dict) -> None:
+    """ValueError for a vocabulary file that asks for what the transducer does not do."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    wrong = {
+        "a normalizer": spec.get("normalizer"),
+        "another pre-tokenizer": pre.get("type") != "ByteLevel" or pre.get("add_prefix_space") or not pre.get("use_regex", True),
+        "another model": model.get("type", "BPE") != "BPE" or model.get("dropout") or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix") or model.get("ignore_merges"),
+        "added tokens that strip, stand alone or are normalized": any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")),
+    }
+    if found := [k for k, v in wrong.items() if v]:
+        raise ValueError("not supported: " + ", ".join(found))
+
+
 class Coder:
     """``encode`` and ``decode`` for one byte-level vocabulary file. Equal to the tokenizers library with
-    add_special_tokens=False and to its decode(ids, skip_special_tokens=False)."""
+    add_special_tokens=False and to its decode(ids, skip_special_tokens=False). A file with a normalizer, another
+    pre-tokenizer or model, or added tokens with conditions is refused (``check``)."""
 
     def __init__(self, path: str) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        check(spec)
         vocab = spec["model"]["vocab"]
         letters = byte_letters()
         back = {c: b for b, c in letters.items()}
@@ -63,6 +80,7 @@ class Coder:
         self.lookahead = self._lookahead(length)
         self.cache: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
+        self.buffers: dict[bytes, list[int]] = {}
 
     def _lookahead(self, length: dict[int, int]) -> int:
         own: dict[int, int] = {}  # G
@@ -97,7 +115,11 @@ class Coder:
         while at < len(data):
             held += data[at : at + piece]
             at += piece
-            ids, last = self._merge(held), at >= len(data)
+            last = at >= len(data)
+            if (ids := self.buffers.get(held)) is None:  # long runs come back to the same buffers
+                if len(self.buffers) >= BUFFERS:
+                    self.buffers.clear()
+                self.buffers[held] = ids = self._merge(held)
             end, k = 0, 0
             for x in ids:
                 if not last and end + len(size[x]) + self.lookahead > len(held):

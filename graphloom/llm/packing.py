@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,21 +33,50 @@ from graphloom.llm.tokens import default_vocabulary
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
+LONG_RUN = 2048
+
+
+def _run(n: int) -> regex.Pattern:
+    return regex.compile("|".join(rf"{kind}{{{n}}}+" for kind in (r"\s", r"\p{L}", r"\p{N}", r"[^\s\p{L}\p{N}]")))
+
+
+RUN, START = _run(LONG_RUN), _run(64)
+
+
+def has_long_run(text: str) -> bool:
+    """Whether ``text`` has LONG_RUN characters of one kind in a row. Such a run holds a multiple of half its length and
+    what follows, so most texts are told by a few short looks."""
+    return any(START.match(text, k) for k in range(0, len(text), LONG_RUN // 2)) and RUN.search(text) is not None
+
+
+#: Characters of the texts of a batch, but for a longer text, which is a batch of its own.
+BATCH_CHARS = 4_000_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, context long, step_group long"
 
 
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """Function from text to a uint32 array of ids: the same vocabulary in a faster library, which merges by id and so
-    needs the ids in the order of the merges; else the transducer."""
+    needs the ids in the order of the merges; else the transducer. That library's stack grows with a run of white space, and
+    its time with the square of a pre-token: texts with a run of more than ``LONG_RUN`` characters of one kind go through
+    the transducer, whose memory and time a character are constant."""
     c = bpe.coder(path)
+    slow = lambda text: np.fromiter((x for part in c.encode(text) for x in part), dtype="<u4")
     if c.new != list(range(256, 256 + len(c.new))):
-        return lambda text: np.asarray(c.ids(text), dtype="<u4")
+        return slow
     import tiktoken
 
     fast = tiktoken.Encoding("bytes", pat_str=bpe.PATTERN, mergeable_ranks={v: k for k, v in c.bytes.items() if k not in c.special.values()}, special_tokens=c.special)
     special = set(c.special)
-    return lambda text: fast.encode_to_numpy(text, allowed_special=special) if any(x in text for x in special) else np.asarray(fast.encode_ordinary(text), dtype="<u4")
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_RUN and has_long_run(text):
+            return slow(text)
+        if any(x in text for x in special):
+            return fast.encode_to_numpy(text, allowed_special=special)
+        return np.asarray(fast.encode_ordinary(text), dtype="<u4")
+
+    return encode
 
 
 class Packer:
@@ -141,10 +171,17 @@ def pack(docs: DataFrame, vocabulary: str, tiers: tuple[int, ...] = TIERS, id_co
             return pd.DataFrame(rows, columns=names)
 
         for frame in frames:
-            for at in range(0, len(frame), batch_docs):
-                part = frame.iloc[at : at + batch_docs]
-                packer.add([(i, np.append(encode(t or ""), np.uint32(end)).astype("<u4")) for i, t in zip(part["id"], part["text"])])
-                yield taken()
+            batch, held = [], 0
+            for i, t in zip(frame["id"], frame["text"]):
+                t = t or ""
+                if batch and (len(batch) == batch_docs or held + len(t) > BATCH_CHARS):
+                    packer.add(batch)
+                    yield taken()
+                    batch, held = [], 0
+                batch.append((i, np.append(encode(t), np.uint32(end)).astype("<u4")))
+                held += len(t)
+            packer.add(batch)
+            yield taken()
         packer.close()
         yield taken()
 
