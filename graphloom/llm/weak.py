@@ -2,9 +2,9 @@
 
 Overlapping heuristic labellers vote or abstain on every document: each of FLAWS votes ``bad`` where it sees its flaw, each
 of MERITS ``good`` where it sees none. Expectation-maximisation over the counts of all vote patterns (at most 2 to the
-number of labellers, whatever the corpus) estimates each labeller's accuracy, without true labels. An abstention is no
-evidence: a flaw is often the only one a document has. The posteriors label a bounded sample of documents (``SAMPLE``, by hash of the
-id), on which a linear scorer over hashed features of word shapes is fitted. Every document is then scored.
+number of labellers, whatever the corpus) estimates how often each votes on good and on bad documents, hence its accuracy,
+and the share of good ones, without true labels. The posteriors label a bounded sample of documents (``SAMPLE``, by hash of
+the id), on which a linear scorer over hashed features of word shapes is fitted. Every document is then scored.
 
 A word's shape: upper-case letters, lower-case letters and digits become A, a and 0, other characters stay, and runs become
 one. A word that equals the one before it, or one of the eight before it, and a line that occurred before, count as shapes
@@ -105,26 +105,61 @@ def votes(c: Counter) -> str:
     return "".join("b" if share(c) >= limit else "-" for _, share, limit in FLAWS) + "".join("g" if test(c) else "-" for _, test in MERITS)
 
 
-def expectation_maximisation(patterns: dict[str, int], rounds: int = 100, guess: float = 0.9, weight: float = 0.5) -> tuple[np.ndarray, dict[str, float]]:
-    """(accuracy of each labeller, posterior probability of good for each pattern). Both classes are as likely beforehand;
-    accuracies start from ``guess``, which counts as ``weight`` times as many votes as
-    the labeller gave, and stay at one half or above: a labeller is never
-    read the other way round. A pattern without votes stays at one half."""
-    keys = sorted(patterns)
-    n = np.array([patterns[k] for k in keys], dtype=float)
-    sign = np.array([[{"b": -1, "g": 1, "-": 0}[v] for v in k] for k in keys], dtype=float).reshape(len(keys), LABELLERS)
-    accuracy = np.full(LABELLERS, guess)
+#: How often a labeller votes on documents of the class it votes for, and on others, before any are seen; these count as
+#: ``PRIOR`` documents of each class, whatever the corpus.
+VOTES_RIGHT, VOTES_WRONG, PRIOR = 0.3, 0.03, 50.0
+
+
+def log_likelihood(patterns: dict[str, int], good: np.ndarray, bad: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(log probability of each pattern with votes, sorted, in each class; their counts), where labellers vote with the
+    probabilities ``good`` and ``bad`` on documents of the class and ``share`` are good."""
+    keys = [k for k in sorted(patterns) if k.strip("-")]
+    voted = np.array([[v != "-" for v in k] for k in keys], dtype=float).reshape(len(keys), LABELLERS)
+    each = [voted @ np.log(rate) + (1 - voted) @ np.log(1 - rate) + np.log(part) for rate, part in ((good, share), (bad, 1 - share))]
+    return np.stack(each), np.array([patterns[k] for k in keys], dtype=float)
+
+
+def log_prior(good: np.ndarray, bad: np.ndarray, share: float) -> float:
+    """Of the rates and the share: beta distributions, PRIOR documents strong."""
+    first_good, first_bad = first_rates()
+    beta = lambda rate, at: (PRIOR * (at * np.log(rate) + (1 - at) * np.log(1 - rate))).sum()
+    return float(beta(good, first_good) + beta(bad, first_bad) + PRIOR * 0.5 * (np.log(share) + np.log(1 - share)))
+
+
+def first_rates() -> tuple[np.ndarray, np.ndarray]:
+    merit = np.arange(LABELLERS) >= len(FLAWS)
+    return np.where(merit, VOTES_RIGHT, VOTES_WRONG), np.where(merit, VOTES_WRONG, VOTES_RIGHT)
+
+
+def fitted(patterns: dict[str, int], rounds: int = 300) -> tuple[np.ndarray, np.ndarray, float, np.ndarray]:
+    """(rates in good documents, rates in bad ones, share of good ones, posterior of good of each pattern with votes):
+    expectation-maximisation of likelihood and prior, from the prior."""
+    (good, bad), share = first_rates(), 0.5
+    first_good, first_bad = first_rates()
+    voted = np.array([[v != "-" for v in k] for k in sorted(patterns) if k.strip("-")], dtype=float).reshape(-1, LABELLERS)
     for _ in range(rounds):
-        good = 1 / (1 + np.exp(-np.clip(sign @ np.log(accuracy / (1 - accuracy)), -50, 50)))
-        right = np.where(sign > 0, good[:, None], np.where(sign < 0, 1 - good[:, None], 0))
-        gave = n @ np.abs(sign)
-        new = (n @ right + guess * (weight * gave + 1)) / (gave + weight * gave + 1)
-        new = np.clip(new, 0.5, 0.999)
-        done = np.abs(new - accuracy).max() < 1e-9
-        accuracy = new
+        each, n = log_likelihood(patterns, good, bad, share)
+        posterior = 1 / (1 + np.exp(np.clip(each[1] - each[0], -500, 500)))
+        mass, rest = n * posterior, n * (1 - posterior)
+        new_good = (mass @ voted + PRIOR * first_good) / (mass.sum() + PRIOR)
+        new_bad = (rest @ voted + PRIOR * first_bad) / (rest.sum() + PRIOR)
+        new_share = (mass.sum() + PRIOR / 2) / (n.sum() + PRIOR)
+        done = max(np.abs(new_good - good).max(), np.abs(new_bad - bad).max(), abs(new_share - share)) < 1e-10
+        good, bad, share = new_good, new_bad, new_share
         if done:
             break
-    return accuracy, dict(zip(keys, good.tolist() if keys else []))
+    return good, bad, float(share), posterior
+
+
+def expectation_maximisation(patterns: dict[str, int]) -> tuple[np.ndarray, dict[str, float]]:
+    """(accuracy of each labeller: how many of its votes are right; posterior probability of good for each pattern). A
+    labeller votes one way only, so what is estimated is how often it votes on good and on bad documents. A pattern without
+    votes stays at one half and takes no part."""
+    good, bad, share, posterior = fitted(patterns)
+    for_good, for_bad = good * share, bad * (1 - share)
+    accuracy = np.where(np.arange(LABELLERS) >= len(FLAWS), for_good, for_bad) / (for_good + for_bad)
+    found = dict.fromkeys(patterns, 0.5)
+    return accuracy, found | dict(zip([k for k in sorted(patterns) if k.strip("-")], posterior.tolist()))
 
 
 def hashed(c: Counter, width: int = WIDTH) -> np.ndarray:
@@ -161,7 +196,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     """``docs`` with quality (the scorer's probability that the document is good) and kept (quality >= threshold).
 
     Texts without words, null included, have quality 0. Equal texts get equal results. If the sample's posteriors are all on
-    one side, there is nothing to tell apart and every text with words has quality 1. Added columns replace equal names."""
+    one side, there is nothing to tell apart and every text with words has quality 1. Rows that repeat an id are judged
+    each. ``quality`` and ``kept`` replace input columns of these names."""
 
     @F.pandas_udf("string")
     def vote(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -186,9 +222,12 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     def quality(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         shapes = Shapes()
         for part in parts:
-            counts = [shape_counts(x, shapes) for x in part]
-            scores = [float(model.score(hashed(c)[None])[0]) if model else 1.0 for c in counts]
-            yield pd.Series([s if c[ANY] else 0.0 for s, c in zip(scores, counts)], dtype=float)
+            out = []
+            for at in range(0, len(part), 256):
+                counts = [shape_counts(x, shapes) for x in part.iloc[at : at + 256]]
+                scores = model.score(np.stack([hashed(c) for c in counts])).tolist() if model else [1.0] * len(counts)
+                out += [s if c[ANY] else 0.0 for s, c in zip(scores, counts)]
+            yield pd.Series(out, dtype=float)
 
     return docs.withColumn("quality", quality(F.col(text_col).cast("string"))).withColumn("kept", F.col("quality") >= threshold)
 
