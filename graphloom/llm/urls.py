@@ -1,8 +1,10 @@
 """URL filters: host and path rules, and gradient-boosted trees on lexical features for URLs that no rule fits.
 
 The trees are trained from labelled URLs: those to which a rule gives a verdict. They are fitted on a bounded sample of them
-(``most_labelled``, by hash of the id); suffix statistics come from all labelled rows and are kept in ``SUFFIX_BUCKETS``
-hashed buckets, so what reaches the driver and the workers has a fixed size. Every row is scored.
+(``most_labelled``, by hash of the id). Suffix statistics (how often a host's last label is labelled, and how often blocked)
+come from all labelled rows, out of fold: a host is in one of ``FOLDS``, and a training row's statistics leave out its own
+fold, so that no row's label is among its features. They are kept in ``SUFFIX_BUCKETS`` hashed buckets, so what reaches the
+driver and the workers has a fixed size. Every row is scored.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from graphloom.llm.sampling import by_hash
 
 # Verdict, host, path of each rule.
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-SUFFIX_BUCKETS = 1024
-FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "specials", "longest_label", "https", "www", "fragment", "file", "suffix_log_count", "suffix_block_rate", "section_log_count", "section_block_rate")
+SUFFIX_BUCKETS, FOLDS = 1024, 5
+FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "entropy", "host_entropy", "parameters", "query_length", "hyphens", "specials", "longest_label", "https", "www", "fragment", "file", "suffix_log_count", "suffix_block_rate")
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -54,21 +56,17 @@ def suffix(host: str) -> int:
     return zlib.crc32(host.rpartition(".")[2].encode()) % SUFFIX_BUCKETS
 
 
-def section(path: str) -> int:
-    return zlib.crc32(path.split("/", 2)[1].encode() if "/" in path else b"") % SUFFIX_BUCKETS
-
-
 def lexical(url: str | None, host: str, path: str, stats: np.ndarray) -> list[float]:
-    """The features of one URL; ``stats``: [suffix or section, bucket, (log count, block rate)]."""
+    """The features of one URL; ``stats``: [bucket, (log count, block rate)]."""
     url = url or ""
     query = url.partition("#")[0].partition("?")[2]
-    n, s, k = max(1, len(url)), suffix(host), section(path)
+    n = max(1, len(url))
     return [
         len(url), len(host), len(path), len([x for x in path.split("/") if x]), host.count(".") + 1,
         len(re.findall("[0-9]", url)) / n, len(re.findall("[0-9]", host)) / max(1, len(host)), _entropy(url), _entropy(host),
         len([x for x in query.split("&") if x]), len(query), host.count("-"), len(re.findall(r"[^A-Za-z0-9/:.]", url)),
         max(map(len, host.split("."))), url.startswith("https"), host.startswith("www."), "#" in url, "." in path.rpartition("/")[2],
-        *stats[0, s], *stats[1, k],
+        *stats[suffix(host)],
     ]
 
 
@@ -130,30 +128,67 @@ class Boosted:
         return 1 / (1 + np.exp(-f))
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", most_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
-    """Per row: id, host, path, rule, verdict, block_score (the trees' probability of ``block``, for every row).
+def fold(host: str) -> int:
+    return zlib.crc32(host.encode()) % FOLDS
 
-    The verdict is the rule's, else ``block`` where block_score >= threshold. Without labelled rows of both verdicts there
-    is no model: the score is the share of blocked rows among the labelled (0 without any). Null and empty URLs have empty
-    host and path and are judged by the trees. Equal URLs get equal verdicts. Other columns are not read."""
+
+def suffix_statistics(counts: np.ndarray) -> np.ndarray:
+    """[fold, bucket, (log count, block rate)] of ``counts`` [fold, bucket, (rows, blocked)]: fold k without its own rows,
+    and last of all rows."""
+    n = np.concatenate([counts.sum(0)[None] - counts, counts.sum(0)[None]])
+    return np.stack([np.log1p(n[..., 0]), (n[..., 1] + 1) / (n[..., 0] + 2)], axis=-1)
+
+
+def trained(sample: list, stats: np.ndarray) -> Boosted | None:
+    """Trees of rows (url, host, path, y), or None where all have one label."""
+    y = np.array([r["y"] for r in sample], dtype=float)
+    if len(set(y)) < 2:
+        return None
+    return Boosted().fit(np.array([lexical(r["url"], r["host"], r["path"], stats[fold(r["host"])]) for r in sample], dtype=float), y)
+
+
+def _labelled(pages: DataFrame, rules, id_col: str, url_col: str, most_labelled: int) -> tuple[DataFrame, list, np.ndarray]:
+    """(rows with host, path, rule and verdict; the sample of labelled ones; counts by fold and suffix)."""
     host, path = split_url(F.col("url"))
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).withColumns({"host": host, "path": path})
     rows = rows.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)).select("id", "url", "host", "path", "fit.rule", "fit.verdict")
     labelled = rows.where("rule is not null").withColumn("y", (F.col("verdict") == "block").cast("int"))
-    first = F.when(F.instr("path", "/") > 0, F.element_at(F.split("path", "/", 3), 2)).otherwise("")
-    keys = {0: F.element_at(F.split("host", r"\."), -1), 1: first}
-    counted = labelled.select("y", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), (F.crc32(v.cast("binary")) % SUFFIX_BUCKETS).alias("bucket")) for k, v in keys.items()])).alias("at")).groupBy("at").agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
-    stats = np.zeros((2, SUFFIX_BUCKETS, 2))
-    stats[:, :, 1] = 0.5
-    counts = counted.collect()  # at most 2 * SUFFIX_BUCKETS rows
-    for r in counts:
-        stats[r["at"]["kind"], r["at"]["bucket"]] = math.log1p(r["n"]), (r["blocked"] + 1) / (r["n"] + 2)
-    total = sum(r["n"] for r in counts if r["at"]["kind"] == 0)
-    sample = by_hash(labelled, total, most_labelled, "id", "url").select("id", "url", "host", "path", "y").collect()
-    sample = sorted(sample, key=lambda r: (str(r["id"]), r["url"]))  # the fit adds in this order
-    y = np.array([r["y"] for r in sample], dtype=float)
-    model = Boosted().fit(np.array([lexical(r["url"], r["host"], r["path"], stats) for r in sample], dtype=float), y) if len(set(y)) == 2 else None
-    only = float(y.mean()) if len(y) else 0.0
+    hashed = lambda c, n: (F.crc32(c.cast("binary")) % n).cast("int")
+    counted = labelled.groupBy(hashed(F.col("host"), FOLDS).alias("fold"), hashed(F.element_at(F.split("host", r"\."), -1), SUFFIX_BUCKETS).alias("bucket")).agg(F.count("*").alias("n"), F.sum("y").alias("blocked"))
+    counts = np.zeros((FOLDS, SUFFIX_BUCKETS, 2))
+    for r in counted.collect():  # at most FOLDS * SUFFIX_BUCKETS rows
+        counts[r["fold"], r["bucket"]] = r["n"], r["blocked"]
+    sample = by_hash(labelled, int(counts[..., 0].sum()), most_labelled, "id", "url").select("id", "url", "host", "path", "y").collect()
+    return rows, sorted(sample, key=lambda r: (str(r["id"]), r["url"])), counts  # the fit adds in this order
+
+
+def held_out_accuracy(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", most_labelled: int = 20_000) -> float:
+    """Share of the sample's labelled URLs that trees fitted on the hosts of other folds judge as the rules do."""
+    _, sample, counts = _labelled(pages, rules, id_col, url_col, most_labelled)
+    right = 0
+    for k in range(FOLDS):
+        others = counts.copy()
+        others[k] = 0
+        stats = suffix_statistics(others)
+        model = trained([r for r in sample if fold(r["host"]) != k], stats)
+        test = [r for r in sample if fold(r["host"]) == k]
+        if model and test:
+            score = model.score(np.array([lexical(r["url"], r["host"], r["path"], stats[FOLDS]) for r in test], dtype=float))
+            right += int(((score >= 0.5) == np.array([r["y"] == 1 for r in test])).sum())
+    return right / max(1, len(sample))
+
+
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", most_labelled: int = 20_000, threshold: float = 0.5) -> DataFrame:
+    """Per row: id, host, path, rule, verdict, block_score (the trees' probability of ``block``, for every row).
+
+    The verdict is the rule's, else ``block`` where block_score >= threshold. Without labelled rows of both verdicts there
+    is no model: the score is the share of blocked rows among the labelled (0 without any). Null and empty URLs have empty
+    host and path and are judged by the trees. Equal URLs get equal verdicts; rows that repeat an id are judged each. Other
+    columns are not read, so their names cannot clash."""
+    rows, sample, counts = _labelled(pages, rules, id_col, url_col, most_labelled)
+    stats = suffix_statistics(counts)
+    model, overall = trained(sample, stats), stats[FOLDS]
+    only = float(np.mean([r["y"] for r in sample])) if sample else 0.0
 
     @F.pandas_udf("double")
     def block_score(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -161,7 +196,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
             if model is None or not len(url):
                 yield pd.Series(np.full(len(url), only))
             else:
-                yield pd.Series(model.score(np.array([lexical(*x, stats) for x in zip(url, h, p)], dtype=float)))
+                yield pd.Series(model.score(np.array([lexical(*x, overall) for x in zip(url, h, p)], dtype=float)))
 
     verdict = F.coalesce("verdict", F.when(F.col("block_score") >= threshold, "block").otherwise("allow"))
     return rows.withColumn("block_score", block_score("url", "host", "path")).select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "block_score")
