@@ -4,23 +4,26 @@ Vectors are dealt into shards; each shard is a KD-tree of median splits whose no
 the score of every vector in it: sum of max(q * low, q * high) over the components. A query visits boxes best first and
 stops when the best bound left is below its k-th score; equal scores are visited, as ties go to the smaller id.
 
-The k-th score is propagated: the first shard's results go to all others as their starting bound, in blocks of queries that
-travel with the bound. Queries against all rows in blocks: a task holds one shard and one block of queries.
+The k-th score is propagated: the first shard is searched, then the next ones in rounds of eight times as many, each query
+starting with the k-th score of all shards before. A task gets a shard's vectors, builds its tree once, and answers the
+queries batch by batch as they stream in after them, so it holds one shard and one batch.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import materialize, table
 
-K, SHARD, BLOCK, LEAF, SCALE = 10, 8192, 1024, 64, 1024
+K, SHARD, LEAF, SCALE = 10, 8192, 64, 1024
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -81,29 +84,70 @@ class Tree:
         return [(s, -i) for s, i in sorted(best, reverse=True)]
 
 
-def _matrix(vectors: list) -> tuple[np.ndarray, np.ndarray]:
-    """Vectors as doubles, and whether every sum of products with vectors of that size stays exact in them."""
-    x = np.array(vectors, dtype=np.int64)
-    top = float(np.abs(x.astype(np.float64)).max(initial=0.0))
-    return x, top
+def _by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(size, rows, matrix of longs) of the vectors of each size."""
+    column = batch.column("vector")
+    sizes, flat = pc.list_value_length(column).to_numpy(zero_copy_only=False), column.flatten().to_numpy(zero_copy_only=False)
+    starts = np.cumsum(np.r_[0, sizes])[:-1]
+    for size in np.unique(sizes).tolist():
+        rows = np.flatnonzero(sizes == size)
+        yield size, rows, flat[starts[rows][:, None] + np.arange(size)].astype(np.int64)
+
+
+class Shard:
+    """Vectors of one shard, and the trees of each size, built when a query first asks."""
+
+    def __init__(self) -> None:
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        self.trees: dict[tuple[int, type], Tree] = {}
+        self.top: dict[int, float] = {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        ids = batch.column("id").to_numpy()
+        for size, rows, x in _by_size(batch):
+            self.parts.setdefault(size, []).append((ids[rows], x))
+
+    def tree(self, size: int, top_q: float) -> Tree:
+        """In doubles where every sum of products is exact in them, else in Python's integers."""
+        x = np.concatenate([x for _, x in self.parts[size]])
+        if size not in self.top:
+            self.top[size] = float(np.abs(x.astype(np.float64)).max(initial=0.0))
+        kind = np.float64 if self.top[size] * top_q * max(1, size) < 2.0**53 else object
+        if (size, kind) not in self.trees:
+            self.trees[size, kind] = Tree(np.concatenate([i for i, _ in self.parts[size]]), x.astype(kind))
+        return self.trees[size, kind]
+
+    def answer(self, batch: pa.RecordBatch, k: int) -> list[tuple[int, int, int]]:
+        out: list[tuple[int, int, int]] = []
+        own, floors = batch.column("id").to_numpy(), batch.column("floor").to_pylist()
+        for size, rows, y in _by_size(batch):
+            if size in self.parts:
+                tree = self.tree(size, float(np.abs(y.astype(np.float64)).max(initial=0.0)))
+                y = y.astype(tree.x.dtype)
+                bounds = tree.bounds(y)
+                for n, at in enumerate(rows.tolist()):
+                    floor = floors[at] if floors[at] is not None else -math.inf
+                    out += [(int(own[at]), i, s) for s, i in tree.search(y[n], bounds[n], int(own[at]), k, floor)]
+        return out
 
 
 def _search(k: int):
-    def run(t: pa.Table, q: pa.Table) -> pa.Table:
-        out: list[tuple[int, int, int]] = []
-        vectors, asked = t.column("vector").to_pylist(), q.column("vector").to_pylist()
-        ids, own, floors = t.column("id").to_numpy(), q.column("id").to_numpy(), q.column("floor").to_pylist()
-        for size in sorted({len(v) for v in vectors} & {len(v) for v in asked}):
-            rows, queries = [n for n, v in enumerate(vectors) if len(v) == size], [n for n, v in enumerate(asked) if len(v) == size]
-            (x, top), (y, top_q) = _matrix([vectors[n] for n in rows]), _matrix([asked[n] for n in queries])
-            exact = top * top_q * max(1, size) < 2.0**53  # else Python's integers
-            kind = np.float64 if exact else object
-            tree = Tree(ids[rows], x.astype(kind))
-            bounds = tree.bounds(y.astype(kind))
-            for n, at in enumerate(queries):
-                floor = floors[at] if floors[at] is not None else -math.inf
-                out += [(int(own[at]), i, s) for s, i in tree.search(y[n].astype(kind), bounds[n], int(own[at]), k, floor)]
-        return pa.table({"query_id": pa.array([x[0] for x in out], pa.int64()), "vec_id": pa.array([x[1] for x in out], pa.int64()), "score": pa.array([x[2] for x in out], pa.int64())})
+    """Rows sorted by shard, vectors before queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, shard = None, Shard()
+        for batch in batches:
+            shards, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            at = np.flatnonzero(np.r_[True, (shards[1:] != shards[:-1]) | (kinds[1:] != kinds[:-1])]) if len(shards) else []
+            for i, j in zip(at, [*at[1:], len(shards)] if len(shards) else []):
+                part = batch.slice(i, j - i)
+                if shards[i] != number:
+                    number, shard = shards[i], Shard()
+                if kinds[i] == 0:
+                    shard.add(part)
+                    continue
+                out = shard.answer(part, k)
+                yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in range(3)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -112,27 +156,32 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K, id_col: str = "vec
     """query_id, rank (from 1), vec_id, score of each query's k best rows of other ids, ties to the smaller id.
 
     Vectors are arrays of longs. Null vectors, and null components, take no part; a query is compared with vectors of its
-    own length. Ids name rows: rows that share an id should be dropped before. An empty side gives an empty result."""
+    own length. Every row of ``vectors`` is a candidate, also those that repeat an id; an id asks once, of several vectors
+    with the least. Other columns are not read. An empty side gives an empty result."""
     whole = lambda c: F.col(c).isNotNull() & ~F.coalesce(F.exists(c, lambda x: x.isNull()), F.lit(True))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(whole("vector") & F.col("id").isNotNull())
     asked = queries.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where(whole("vector") & F.col("id").isNotNull())
-    n, m = rows.count(), asked.count()
-    shards, blocks = max(1, math.ceil(n / SHARD)), max(1, math.ceil(m / BLOCK))
-    rows = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    asked = asked.groupBy("id").agg(F.min("vector").alias("vector"))
+    shards = max(1, math.ceil(rows.count() / SHARD))
+    data = rows.select(F.pmod(F.xxhash64("id", "vector"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "vector", F.lit(None).cast("long").alias("floor"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    # the partial limit of a ranking runs before its shuffle, so a query's rows come as k a task at most
+    best = lambda found: found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     def searched(first: int, last: int, floors: DataFrame | None) -> DataFrame:
-        some = rows.where(F.col("shard").between(first, last)).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        own = (asked.join(floors, "id", "left") if floors is not None else asked.withColumn("floor", F.lit(None).cast("long"))).withColumn("shard", F.explode(F.sequence(F.lit(first), F.lit(last))))
-        return some.groupBy("shard", "block").cogroup(own.groupBy("shard", "block")).applyInArrow(_search(k), FOUND)
-
-    found = materialize(searched(0, 0, None), "first-shard")
-    if shards > 1:
+        own = asked.join(floors, "id", "left") if floors is not None else asked.withColumn("floor", F.lit(None).cast("long"))
+        own = own.select(F.explode(F.sequence(F.lit(first), F.lit(last))).alias("shard"), F.lit(1).alias("kind"), "id", "vector", "floor")
+        both = data.where(F.col("shard").between(first, last)).unionByName(own)
+        return both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(_search(k), FOUND)
+
+    found, done = searched(0, 0, None), 1
+    while done < shards:
+        found = materialize(best(found).drop("rank"), "best-so-far")
         floors = found.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "floor")
-        found = found.union(searched(1, shards - 1, floors))
-    # the partial limit of a ranking runs before its shuffle, so a query's rows come as k a task at most
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        last = min(8 * done, shards)
+        found = found.union(searched(done, last - 1, floors))
+        done = last
+    return best(found).select("query_id", "rank", "vec_id", "score")
 
 
 def scaled(vectors: DataFrame, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
