@@ -31,6 +31,18 @@ RECORD = "page_id long, url string, record_type string, payload_digest string, p
 _ID = "urn:page:"
 
 
+#: Names under which Hadoop knows stores that pyarrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss"}
+
+
+def opened(folder: str):
+    """(pyarrow file system, path in it) of a folder as Spark names it."""
+    from pyarrow import fs
+
+    scheme, mark, rest = folder.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}" if mark else folder)
+
+
 def _clean(value: str) -> str:
     """A header value must stay on its line: control characters are percent-encoded."""
     return re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", value)
@@ -85,9 +97,7 @@ def write(pages: DataFrame, folder: str, when: str | None = None, least_revisit:
     rows = rows.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "payload", "digest", "refers_to")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
+        store, root = opened(folder)
         name = f"{uuid.uuid4().hex}.warc.gz"
         out = None
         try:
@@ -135,13 +145,13 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
             yield name, run
 
     def read_runs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        store, root = fs.FileSystem.from_uri(folder)
-        opened, source = None, None
+        store, root = opened(folder)
+        name, source = None, None
         for file, run in joined(frames):
-            if file != opened:
-                opened, source = file, store.open_input_file(f"{root}/{file}")
+            if file != name:
+                if source is not None:
+                    source.close()
+                name, source = file, store.open_input_file(f"{root}/{file}")
             start = run[0][0]
             data = source.read_at(run[-1][0] + run[-1][1] - start, start)
             rows = []
@@ -156,6 +166,8 @@ def read(index: DataFrame, folder: str, payloads: bool = True) -> DataFrame:
                 rows.append((number("warc-record-id"), headers.get("warc-target-uri"), kind, digest, size, number("warc-refers-to"), payload if payloads and kind == "response" else None))
             out = pd.DataFrame(rows, columns=[x.split()[0] for x in RECORD.split(", ")])
             yield out.astype({"refers_to": "Int64"})
+        if source is not None:
+            source.close()
 
     return ranges.mapInPandas(read_runs, RECORD)
 
