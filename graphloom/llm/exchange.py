@@ -22,44 +22,69 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class Words(dict):
-    """Word (bytes) to its 64-bit hash; at most ``most`` words are remembered."""
-
-    def __init__(self, most: int = 300_000) -> None:
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
+#: Sums of products by powers of an odd number, modulo 2 ** 64: the hash of a range is a difference of two running sums,
+#: brought back to the range's start by the inverse power. ``SPAN`` values are summed at a time.
+BASE, SPAN, LONGEST = 0x9E3779B97F4A7C15, 1 << 16, 512
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    return np.cumprod(np.r_[np.uint64(1), np.full(n - 1, base, dtype=np.uint64)])
+
+
+POWERS, INVERSE = _powers(BASE, 2 * SPAN + LONGEST), _powers(pow(BASE, -1, 1 << 64), SPAN)
+#: A random odd number for each byte; the same for both cases of a letter in the second row.
+BYTES = mix(np.arange(1, 257, dtype=np.uint64) * MIX) | np.uint64(1)
+BYTES = np.stack([BYTES, BYTES[[ord(chr(b).lower()) if b < 128 else b for b in range(256)]]])
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of ``text``, which are those of ``text.split()``."""
+    inside = ~SPACE[np.frombuffer(text, dtype=np.uint8)]
+    at = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside):
+        at = np.concatenate([at[:0] if not inside[0] else [0], at, at[:0] if not inside[-1] else [len(inside)]]).astype(np.int64)
+    return at[::2], at[1::2]
+
+
+def word_hashes(text: bytes, lower: bool = False) -> np.ndarray:
+    """A 64-bit hash of every word of ``text``, in order; with ``lower``, of its lower-case form (A-Z alone). Words of more
+    than LONGEST bytes are hashed one by one, as sums of powers repeat over long regular strings."""
+    starts, ends = word_bounds(text)
+    data, table = np.frombuffer(text, dtype=np.uint8), BYTES[int(lower)]
+    out = np.empty(len(starts), dtype=np.uint64)
+    for at in range(0, len(text) if len(starts) else 0, SPAN):
+        i, j = np.searchsorted(starts, [at, at + SPAN])
+        if i == j:
+            continue
+        values = table[data[at : at + SPAN + LONGEST]]
+        sums = np.zeros(len(values) + 1, dtype=np.uint64)
+        np.cumsum(values * POWERS[: len(values)], out=sums[1:])
+        a = starts[i:j] - at
+        out[i:j] = mix((sums[np.minimum(ends[i:j] - at, len(values))] - sums[a]) * INVERSE[a])
+    for k in np.flatnonzero(ends - starts > LONGEST).tolist():
         import xxhash
 
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-    def hashes(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+        word = text[starts[k] : ends[k]]
+        out[k] = xxhash.xxh3_64_intdigest(word.lower() if lower else word)
+    return out
 
 
 def windows(words: np.ndarray, length: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``length`` consecutive word hashes; built by doubling, so in O(log length) passes.
-    Equal windows have equal hashes whatever surrounds them."""
-    if len(words) < length:
-        return np.empty(0, dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        part, done, out, used = mix(words + MIX), 1, None, 0
-        rest = length
-        while rest:
-            if rest & 1:
-                n = len(words) - used - done + 1
-                piece = part[used : used + n]
-                out = piece if out is None else mix(out[: len(piece)] * np.uint64(0xD6E8FEB86659FD93) + piece)
-                used += done
-            rest >>= 1
-            if rest:
-                part = mix(part[: len(part) - done] * np.uint64(0xA0761D6478BD642F) + part[done:]) if len(part) > done else part[:0]
-                done *= 2
-        return out[: len(words) - length + 1]
+    """A 64-bit hash of every window of ``length`` (at most SPAN) consecutive word hashes. Equal windows have equal hashes
+    whatever surrounds them."""
+    if length > SPAN:
+        raise ValueError(f"a window of more than {SPAN} words")
+    n = max(0, len(words) - length + 1)
+    out = np.empty(n, dtype=np.uint64)
+    for at in range(0, n, SPAN):
+        part = words[at : at + SPAN + length - 1]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum(part * POWERS[: len(part)], out=sums[1:])
+        m = len(part) - length + 1
+        out[at : at + m] = (sums[length : length + m] - sums[:m]) * INVERSE[:m]
+    return mix(out)
 
 
 def bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
