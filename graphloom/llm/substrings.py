@@ -1,19 +1,21 @@
 """Substring deduplication by level-wise doubling.
 
-Level 1 looks at windows of half the length, level 2 at twice that, and only where level 1 found a repeat: a window is
-repeated only if all of its half windows are. Of a window's half windows one is enough to look at, and the least by hash is
-taken: equal windows take the same one, so nothing is lost, and 2 in 27 positions are sent instead of all. What is repeated
-at the full length alone is covered; without survivors of level 1 there is no level 2.
+Lengths double up to the window's: 13, 25, 50 for windows of 50 words. At each length only those windows are looked at that
+were repeated at the length before, and when none survives the search ends. Of a window's parts of a level's length one is
+enough to look at, and the least by hash (its *anchor*) is taken: equal windows take the same one, so nothing is lost, and
+few positions are sent instead of all. What is repeated at the full length alone is covered.
 
-Documents are dealt into parts by a hash of their id. Each level is one packed exchange (see ``exchange``): a part sends
-each of its distinct windows once, with the least doc_id it has it in; the bucket answers with what is repeated, and the
-least doc_id of all. So a passage in a third of all documents costs a bucket one entry for each part.
+Documents are dealt into parts by a hash of their id, of ``PART_BYTES`` of text at most on average. Each level is one packed
+exchange (see ``exchange``): a part sends each of its distinct anchors, at last windows, once, with the least doc_id it has
+it in; the bucket answers with what is repeated, and the least doc_id of all. So a passage in a third of all documents costs
+a bucket one entry for each part.
 
 Windows are compared by 63-bit hashes of their words.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,9 +25,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import materialize, shuffle_partitions, table
-from graphloom.llm.exchange import Words, split_sorted, windows
+from graphloom.llm.exchange import mix, split_sorted, windows, word_hashes
 
 LOW = np.uint64(1)
+#: The least length that is looked at first is more than half of this, or the window's own.
+SHORTEST = 16
+PART_BYTES = 16 << 20
+
+
+def levels(window: int) -> list[int]:
+    """The lengths that are looked at, each at most twice the one before."""
+    out = [window]
+    while out[0] > SHORTEST:
+        out.insert(0, (out[0] + 1) // 2)
+    return out
 SENT = "bucket int, part int, hashes binary, docs binary"
 ANSWER = "part int, hashes binary, docs binary"
 
@@ -46,9 +59,9 @@ def even(hashes: np.ndarray) -> np.ndarray:
     return hashes & ~LOW
 
 
-def anchors(words: np.ndarray, window: int, half: int) -> np.ndarray:
-    """Of every window, the least of its half windows."""
-    return sliding_least(even(windows(words, half)), window - half + 1)
+def anchors(words: np.ndarray, window: int, length: int) -> np.ndarray:
+    """Of every window, the least of its parts of ``length`` words; mixed once more, as least values are no even spread."""
+    return even(mix(sliding_least(windows(words, length), window - length + 1)))
 
 
 def member(values: np.ndarray, among: np.ndarray) -> np.ndarray:
@@ -77,36 +90,64 @@ SENT_ARROW = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("hashes",
 ANSWER_ARROW = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
 
 
-def _send_anchors(window: int, half: int, buckets: int, most: int = 4_000_000):
-    """Level 1: distinct (anchor, part) of a task, by bucket; ``docs`` holds the part of each anchor as int32. An anchor
-    that stands in two documents of one part is marked in its lowest bit."""
+def _packed(got: list[tuple[np.ndarray, int]], buckets: int) -> pa.RecordBatch:
+    """Distinct (anchor, part), by bucket; ``docs`` holds the part of each anchor as int32. An anchor that comes from two
+    documents of one part is marked in its lowest bit."""
+    h = np.concatenate([x for x, _ in got])
+    p = np.concatenate([np.full(len(x), part, dtype=np.int32) for x, part in got])
+    order = np.lexsort((p, h))
+    h, p = h[order], p[order]
+    at = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])]) if len(h) else np.empty(0, dtype=np.int64)
+    many = np.diff(np.r_[at, len(h)]) > 1
+    h, p = h[at] | many.astype(np.uint64), p[at]
+    cut = split_sorted(h, buckets)
+    return _batch({"bucket": [b for b, _, _ in cut], "part": [0] * len(cut), "hashes": [h[i:j].tobytes() for _, i, j in cut], "docs": [p[i:j].tobytes() for _, i, j in cut]}, SENT_ARROW)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, got, held = Words(), [], 0
-
-        def send() -> pa.RecordBatch:
-            h, p = (np.concatenate([x[k] for x in got]) for k in (0, 1))
-            order = np.lexsort((p, h))
-            h, p = h[order], p[order]
-            new = np.r_[True, (h[1:] != h[:-1]) | (p[1:] != p[:-1])]
-            at = np.flatnonzero(new)
-            many = np.diff(np.r_[at, len(h)]) > 1
-            h, p = h[at] | many.astype(np.uint64), p[at]
-            cut = split_sorted(h, buckets)
-            return _batch({"bucket": [b for b, _, _ in cut], "part": [0] * len(cut), "hashes": [h[i:j].tobytes() for _, i, j in cut], "docs": [p[i:j].tobytes() for _, i, j in cut]}, SENT_ARROW)
 
+def _send_first(window: int, length: int, buckets: int, most: int = 4_000_000):
+    """The first level: the anchors of every window of a task's documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got, held = [], 0
         for batch in batches:
-            for text, part in zip(batch.column(0).cast(pa.binary()).to_pylist(), batch.column(1).to_pylist()):
-                found = (text or b"").split()
-                if len(found) >= window:
-                    a = np.unique(anchors(words.hashes(found), window, half))
-                    got.append((a, np.full(len(a), part, dtype=np.int32)))
-                    held += len(a)
-            if held >= most:
-                yield send()
-                got, held = [], 0
+            for text, part in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist()):
+                words = word_hashes(text.as_py() or b"")
+                if len(words) >= window:
+                    got.append((np.unique(anchors(words, window, length)), part))
+                    held += len(got[-1][0])
+                if held >= most:
+                    yield _packed(got, buckets)
+                    got, held = [], 0
         if got:
-            yield send()
+            yield _packed(got, buckets)
+
+    return run
+
+
+def _surviving(docs: pa.Table, answers: pa.Table, window: int, length: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(document, its word hashes, which of its windows have a repeated anchor of ``length``) of the documents of a part
+    that have any."""
+    repeated = np.sort(np.frombuffer(b"".join(answers.column("hashes").to_pylist()), dtype=np.uint64))
+    if not len(repeated):
+        return
+    for chunk in docs.to_batches():
+        for doc, text in zip(chunk.column("id").to_pylist(), chunk.column("text").cast(pa.binary())):
+            words = word_hashes(text.as_py() or b"")
+            if len(words) >= window:
+                keep = member(anchors(words, window, length), repeated)
+                if keep.any():
+                    yield doc, words, keep
+
+
+def _send_next(window: int, before: int, length: int, buckets: int):
+    """A further level, for one part: the anchors of the windows that survived the level ``before``."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        got = [(np.unique(anchors(words, window, length)[keep]), 0) for _, words, keep in _surviving(docs, answers, window, before)]
+        if not got:
+            return SENT_ARROW.empty_table()
+        part = docs.column("part")[0].as_py()
+        return pa.Table.from_batches([_packed([(x, part) for x, _ in got], buckets)])
 
     return run
 
@@ -151,33 +192,24 @@ def _answer_windows(t: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([int(p[i]) for i in at], pa.int32()), "hashes": pa.array([value[i:j].tobytes() for i, j in zip(at, ends)], pa.binary()), "docs": pa.array([owner[i:j].tobytes() for i, j in zip(at, ends)], pa.binary())})
 
 
-def _send_windows(window: int, half: int, buckets: int):
-    """Level 2, for one part: its distinct windows whose anchor is repeated, with the least document of each; marked in
-    the lowest bit if several of the part's documents have it."""
+def _send_windows(window: int, before: int, buckets: int):
+    """The last level, for one part: its distinct windows that survived the level ``before``, with the least document of
+    each; marked in the lowest bit if several of the part's documents have it."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        cut, out_h, out_d, part = [], None, None, 0
-        repeated = np.sort(np.frombuffer(b"".join(answers.column("hashes").to_pylist()), dtype=np.uint64))
-        if len(repeated) and docs.num_rows:
-            part, words, hs, ds = docs.column("part")[0].as_py(), Words(), [], []
-            for chunk in docs.to_batches():
-                for doc, text in zip(chunk.column("id").to_pylist(), chunk.column("text").cast(pa.binary()).to_pylist()):
-                    found = (text or b"").split()
-                    if len(found) >= window:
-                        w = words.hashes(found)
-                        h = np.unique(even(windows(w, window))[member(anchors(w, window, half), repeated)])
-                        hs.append(h)
-                        ds.append(np.full(len(h), doc, dtype=np.int64))
-            if hs:
-                h, out_d, many = _first(np.concatenate(hs), np.concatenate(ds))
-                out_h = h | many.astype(np.uint64)
-                cut = split_sorted(out_h, buckets)
-        return _batch({"bucket": [b for b, _, _ in cut], "part": [part] * len(cut), "hashes": [out_h[i:j].tobytes() for _, i, j in cut], "docs": [out_d[i:j].tobytes() for _, i, j in cut]}, SENT_ARROW)
-
-    def table_of(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([run(docs, answers)])
-
-    return table_of
+        hs, ds = [], []
+        for doc, words, keep in _surviving(docs, answers, window, before):
+            hs.append(np.unique(even(windows(words, window))[keep]))
+            ds.append(np.full(len(hs[-1]), doc, dtype=np.int64))
+        if not hs:
+            return SENT_ARROW.empty_table()
+        part = docs.column("part")[0].as_py()
+        h, d, many = _first(np.concatenate(hs), np.concatenate(ds))
+        h = h | many.astype(np.uint64)
+        cut = split_sorted(h, buckets)
+        return pa.Table.from_batches([_batch({"bucket": [b for b, _, _ in cut], "part": [part] * len(cut), "hashes": [h[i:j].tobytes() for _, i, j in cut], "docs": [d[i:j].tobytes() for _, i, j in cut]}, SENT_ARROW)])
+
+    return run
 
 
 def _remove(window: int):
@@ -188,13 +220,14 @@ def _remove(window: int):
         owner = np.frombuffer(b"".join(answers.column("docs").to_pylist()), dtype=np.int64)
         order = np.argsort(h)
         h, owner = h[order], owner[order]
-        words, kept, n_words, n_removed = Words(), [], [], []
+        kept, n_words, n_removed = [], [], []
         for chunk in docs.select(["id", "text"]).to_batches():
-            for doc, text in zip(chunk.column("id").to_pylist(), chunk.column("text").cast(pa.binary()).to_pylist()):
-                found = (text or b"").split()
+            for doc, text in zip(chunk.column("id").to_pylist(), chunk.column("text").cast(pa.binary())):
+                text = text.as_py() or b""
+                found = text.split()
                 n = len(found)
                 if n >= window and len(h):
-                    w = even(windows(words.hashes(found), window))
+                    w = even(windows(word_hashes(text), window))
                     at = np.minimum(np.searchsorted(h, w), len(h) - 1)
                     hit = np.flatnonzero((h[at] == w) & (owner[at] < doc))
                     if len(hit):
@@ -219,22 +252,30 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_col: str = "doc_id", te
     texts have no words. Rows that repeat an id do not remove each other's words. Rows without an id own nothing and lose
     nothing: they come back as they are."""
     spark = docs.sparkSession
-    half, buckets = (window + 1) // 2, shuffle_partitions(spark)
-    parts = 2 * buckets
+    lengths, tasks = levels(window), shuffle_partitions(spark)
+    size = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")).cast("long"))).first()[0] or 0
+    parts = max(2 * tasks, math.ceil(size / PART_BYTES))
+    buckets = max(tasks, parts // 4)
+    # as many tasks as the parts need; the session's own number, which adaptive execution may lower, where that is enough
+    dealt = lambda df, n, key: df.repartition(n, key).groupBy(key) if n > 2 * tasks else df.groupBy(key)
     rest = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
     rows = docs.select(F.struct(*rest).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
     bare = rows.where("id is null").select("row", "text", F.array_join(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != ""), " ").alias("kept_text"), F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long").alias("n_words"), F.lit(0).cast("long").alias("n_removed"))
     rows = rows.where("id is not null")
-    sent = rows.select("text", "part").mapInArrow(_send_anchors(window, half, buckets), SENT)
-    answers = materialize(sent.groupBy("bucket").applyInArrow(_answer_anchors, ANSWER), "half-windows")
-    if answers.isEmpty():
-        owned = answers
-    else:
-        light = rows.select("part", "id", "text")
-        sent = light.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(_send_windows(window, half, buckets), SENT)
-        owned = materialize(sent.groupBy("bucket").applyInArrow(_answer_windows, ANSWER), "windows")
+    light = rows.select("part", "id", "text")
+    answered = lambda sent, answer, name: materialize(dealt(sent, buckets, "bucket").applyInArrow(answer, ANSWER), name)
+    if len(lengths) == 1:
+        lengths = lengths * 2  # a short window is its own anchor
+    owned = answered(rows.select("text", "part").mapInArrow(_send_first(window, lengths[0], buckets), SENT), _answer_anchors, "repeated")
+    for before, length in zip(lengths, lengths[1:]):
+        if owned.isEmpty():
+            break
+        last = length == window
+        send = _send_windows(window, before, buckets) if last else _send_next(window, before, length, buckets)
+        sent = dealt(light, parts, "part").cogroup(dealt(owned, parts, "part")).applyInArrow(send, SENT)
+        owned = answered(sent, _answer_windows if last else _answer_anchors, "windows" if last else "repeated")
     schema = T.StructType([rows.schema["row"], rows.schema["text"], T.StructField("kept_text", T.StringType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType())])
-    return rows.groupBy("part").cogroup(owned.groupBy("part")).applyInArrow(_remove(window), schema).unionByName(bare)
+    return dealt(rows, parts, "part").cogroup(dealt(owned, parts, "part")).applyInArrow(_remove(window), schema).unionByName(bare)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

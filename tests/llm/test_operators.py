@@ -115,13 +115,45 @@ def test_t_occurrence_merges_and_probes():
 
 
 def test_window_hashes_depend_on_the_window_alone():
-    h = exchange.Words().hashes(split("a b c d e f a b c d e f g"))
+    h = exchange.word_hashes(b"a b c d e f a b c d e f g")
     for n in (1, 2, 3, 5, 6):
         w = exchange.windows(h, n)
         assert len(w) == len(h) - n + 1 and w[0] == w[6] and len(set(w.tolist())) == len({tuple(h[k : k + n]) for k in range(len(w))})
     assert len(exchange.windows(h, 14)) == 0
 
 
+def test_word_hashes(monkeypatch):
+    """Words are those of bytes.split(), equal hashes mean equal words, whatever the block they are summed in."""
+    r = random.Random(5)
+    texts = [b"", b" ", b"a", b" a", b"a ", b"a\x0bb\x1cc", "\u00e9\u3000 \u00c9 AbC abc".encode(), b"x" * 2000 + b" " + b"x" * 2000 + b" y"]
+    texts += ["".join(r.choice("aB \n\u00e9") for _ in range(r.randrange(3000))).encode() for _ in range(20)]
+    hashes = {}
+    for span in (exchange.SPAN, 100, 600):
+        monkeypatch.setattr(exchange, "SPAN", span)
+        for lower in (False, True):
+            for t in texts:
+                words = [w.lower() if lower else w for w in t.split()]
+                found = exchange.word_hashes(t, lower).tolist()
+                assert len(found) == len(words)
+                for w, h in zip(words, found):
+                    assert hashes.setdefault((w, lower), h) == h
+    monkeypatch.undo()
+    for lower in (False, True):
+        assert len({h for (_, k), h in hashes.items() if k == lower}) == sum(k == lower for _, k in hashes)
+    w = exchange.word_hashes(b" ".join(b"w%d" % r.randrange(50) for _ in range(2 * exchange.SPAN + 9)))
+    whole = exchange.windows(w, 7)
+    assert len(whole) == len(w) - 6 and all(whole[k] == exchange.windows(w[k : k + 7], 7)[0] for k in range(0, len(whole), 997))
+
+
+@pytest.mark.parametrize("window", [1, 3, 16, 17, 33])
+def test_levels(spark, window):
+    assert substrings.levels(50) == [13, 25, 50] and all(b <= 2 * a for a, b in zip(substrings.levels(window), substrings.levels(window)[1:]))
+    r = random.Random(window)
+    rows = [(k, " ".join(r.choice("ab") for _ in range(30)) + " " + " ".join(words(60, k % 3))) for k in range(8)]
+    out = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), window)
+    assert {x["row"]["doc_id"]: (x["n_words"], x["n_removed"], x["kept_text"]) for x in out.collect()} == brute_removed(rows, window)
+
+
 def brute_removed(rows, window=50):
     first, out = {}, {}
     for i, t in sorted(rows, key=lambda r: r[0]):
@@ -207,6 +239,17 @@ def test_kd_tree_top_k(spark, monkeypatch, n):
     assert got == want
 
 
+def test_top_k_repeated_ids_and_clashing_names(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 3)
+    rows = [(k % 9, [k, -k, 3], k, 0.0, 1) for k in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<long>, shard int, floor double, kind int")
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(df, df.where("vec_id = 4"), 5).collect()}
+    q = min(v for i, v, *_ in rows if i == 4)
+    best = sorted((-sum(a * b for a, b in zip(q, v)), i) for i, v, *_ in rows if i != 4)[:5]
+    assert got == {(4, n + 1): (i, -s) for n, (s, i) in enumerate(best)}
+    assert topk.top_k(df.limit(0), df).count() == 0 and topk.top_k(df, df.limit(0)).count() == 0
+
+
 @pytest.fixture(scope="module")
 def vocabulary():
     return tokens.default_vocabulary()
@@ -272,6 +315,56 @@ def test_packing(spark, vocabulary):
     assert packing.pack(df.limit(0), vocabulary).count() == 0
 
 
+def test_packing_of_long_texts(spark, vocabulary):
+    texts = {k: v[:400_000] for k, v in long_texts().items()} | {"all spaces": " " * 1_200_000}
+    encode, coder = packing.encoder(vocabulary), bpe.coder(vocabulary)
+    assert packing.has_long_run("x" * 2048) and packing.has_long_run("y " * 999 + "\n" * 4000 + "x") and not packing.has_long_run("x1 " * 5000)
+    df = spark.createDataFrame([(n, v, 1) for n, v in enumerate(texts.values())] * 2, "doc_id long, text string, offset int").repartition(2)
+    size = defaultdict(int)
+    for r in packing.pack(df, vocabulary).collect():
+        size[r["doc_id"]] += r["length"]
+    for n, (k, v) in enumerate(texts.items()):
+        ids = coder.ids(v)
+        assert size[n] == 2 * (len(ids) + 1) and encode(v).tolist() == ids, k
+
+
+def test_vocabularies_that_are_refused(vocabulary):
+    import json
+
+    with open(vocabulary, encoding="utf-8") as f:
+        spec = json.load(f)
+    bpe.check(spec)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", spec["pre_tokenizer"] | {"add_prefix_space": True}), ("model", spec["model"] | {"type": "WordPiece"}), ("added_tokens", [spec["added_tokens"][0] | {"lstrip": True}])):
+        with pytest.raises(ValueError, match="not supported"):
+            bpe.check(spec | {key: value})
+
+
+def test_other_stages_on_long_texts(spark):
+    """Two copies of each: the classifier, the Jaccard join and the substring dedup take them whole."""
+    texts = {k: v[:300_000] for k, v in long_texts().items()}
+    rows = [(n, v) for n, v in enumerate([*texts.values(), *texts.values()])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["quality"] for r in weak.classify(df).collect()}.keys() == {n for n, _ in rows}
+    n = len(texts)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.near_duplicates(df).collect()}
+    for k, name in enumerate(texts):
+        blank = name in ("spaces", "newlines")
+        assert got[k] == (got[k][0], k) and got[k + n] == (got[k][0], k + n if blank else k) and (got[k][0] == 0) == blank, name
+    out = {r["row"]["doc_id"]: (r["n_words"], r["n_removed"]) for r in substrings.remove_repeats(df).collect()}
+    words_of = len(texts["tokens"].split())
+    tokens_at = list(texts).index("tokens")
+    assert out[tokens_at] == (words_of, 0) and out[tokens_at + n] == (words_of, words_of) and all(out[k] == out[k + n] for k in range(n) if k != tokens_at)
+
+
+@pytest.mark.parametrize("folder", ["s3a://bucket/dir", "s3n://bucket/dir"])
+def test_stores_that_hadoop_names_otherwise(folder):
+    try:
+        store, path = warc.opened(folder)
+    except OSError:  # the store is asked for its region, and there is no network
+        return
+    assert path == "bucket/dir" and store.type_name == "s3"
+
+
 def test_warc(spark, tmp_path):
     big = "<p>é</p>" * 200
     rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://c", big), (4, "http://d", "small"), (5, "http://e", "small"), (6, "http://f", None), (7, "http://g", ""), (8, "h", "x" * 200_000)]
@@ -326,6 +419,43 @@ def test_expectation_maximisation_finds_the_bad_labeller():
     assert accuracy[0] < 0.6 < 0.85 < min(accuracy[1], accuracy[2], accuracy[-1])
 
 
+def test_expectation_maximisation_reaches_the_likeliest_rates():
+    """On a small pattern table: no step away from the rates found raises the likelihood with its prior, and posteriors are
+    Bayes' rule, pattern by pattern."""
+    r, n = random.Random(4), weak.LABELLERS
+    patterns = Counter("".join(("b" if j < len(weak.FLAWS) else "g") if r.random() < (0.8 if (j >= len(weak.FLAWS)) == (k % 3 > 0) else 0.1) else "-" for j in range(n)) for k in range(600))
+    patterns["-" * n] = 40
+    good, bad, share, posterior = weak.fitted(patterns)
+
+    def score(good, bad, share):
+        each, count = weak.log_likelihood(patterns, good, bad, share)
+        return float((count * np.logaddexp(each[0], each[1])).sum()) + weak.log_prior(good, bad, share)
+
+    best = score(good, bad, share)
+    for j in range(n):
+        for step in (-0.004, 0.004):
+            move = np.where(np.arange(n) == j, step, 0)
+            assert score(np.clip(good + move, 1e-6, 1 - 1e-6), bad, share) <= best and score(good, np.clip(bad + move, 1e-6, 1 - 1e-6), share) <= best
+    assert max(score(good, bad, share + step) for step in (-0.01, 0.01)) <= best and 0.6 < share < 0.75
+    _, found = weak.expectation_maximisation(patterns)
+    for pattern, p in found.items():
+        a, b = share, 1 - share
+        for j, vote in enumerate(pattern):
+            a, b = a * (good[j] if vote != "-" else 1 - good[j]), b * (bad[j] if vote != "-" else 1 - bad[j])
+        assert p == pytest.approx(a / (a + b) if pattern.strip("-") else 0.5)
+    assert weak.expectation_maximisation({})[1] == {}
+
+
+def test_quality_of_repeated_rows_and_clashing_names(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).selectExpr("doc_id", "text", "5.0 AS quality", "'x' AS kept")
+    got = weak.classify(docs.union(docs)).collect()
+    assert len(got) == 2 * docs.count() and len({(r["doc_id"], r["quality"], r["kept"]) for r in got}) == len({r["doc_id"] for r in got})
+    import corpus_pipeline as p
+
+    kept = p.quality(spark, docs, sf)
+    assert kept.columns == docs.columns and {(r["quality"], r["kept"]) for r in kept.collect()} == {(5, "x")}
+
+
 URLS = [None, "", "no scheme", "http://A.Example.ORG/es/1?x#y", "http://example.org/en/12", "http://example.org/en/2", "http://badexample.org", "http://x.com/de/?a/fr/", "https://x.com/fr/9", "https://x.net/de/1", "http://xcom/de/1", "a://b://c/d", "http://example.org?/es/", "http://h\n.org/p\nq"]
 
 
@@ -351,6 +481,24 @@ def test_url_rules(spark, sf):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_trees_on_hosts_not_seen(spark, sf):
+    """Hosts that a rule blocks are long and full of digits: trees fitted on the hosts of other folds tell them."""
+    r = random.Random(6)
+    rows = []
+    for k in range(600):
+        bad = k % 2 == 0
+        host = "".join(r.choice("0123456789xyz" if bad else "abcdefghij") for _ in range(r.randrange(14, 22) if bad else r.randrange(5, 9)))
+        rows.append((k, f"http://{host}.{'com/de/' if bad else 'com/fr/'}a{k % 7}", "z", "q"))
+    df = spark.createDataFrame(rows, "page_id long, url string, host string, rule string")
+    assert urls.held_out_accuracy(df) > 0.95
+    twice = urls.judge(df.union(df)).collect()
+    assert len(twice) == 1200 and len({tuple(x) for x in twice}) == 600
+    counts = np.zeros((urls.FOLDS, urls.SUFFIX_BUCKETS, 2))
+    counts[1, 3], counts[2, 3] = (10, 9), (4, 0)
+    stats = urls.suffix_statistics(counts)
+    assert stats[1, 3].tolist() == [np.log1p(4), 1 / 6] and stats[urls.FOLDS, 3].tolist() == [np.log1p(14), 10 / 16] and stats[0, 5].tolist() == [0, 0.5]
+
+
 def test_boosted_trees_held_out():
     r = np.random.default_rng(2)
     x = r.normal(size=(3000, 6))
