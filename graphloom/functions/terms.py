@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import unicodedata
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -102,14 +103,166 @@ def compact_iri(c: Column, prefixes: dict[str, str]) -> Column:
     return out
 
 
+@lru_cache(maxsize=1)
+def plain_letters() -> tuple[str, str, list[tuple[str, str]]]:
+    """What compatibility decomposition leaves of characters outside ASCII, of ASCII letters and digits alone: (characters
+    with one of them, those, [(character, several)]). Built from the Unicode tables of this Python."""
+    ones, others, many = [], [], []
+    for point in range(0x80, 0x110000):
+        c = chr(point)
+        if unicodedata.decomposition(c):
+            rest = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isascii() and x.isalnum())
+            if len(rest) == 1:
+                ones.append(c)
+                others.append(rest)
+            elif rest:
+                many.append((c, rest))
+    return "".join(ones), "".join(others), many
+
+
+# Umlauts written out.
+UMLAUTS = (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss"))
+
+
+def umlauts(c: Column) -> Column:
+    return reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), UMLAUTS, c)
+
+
 def norm_key(c: Column) -> Column:
-    """Umlauts written out, accents dropped, ASCII letters and digits alone, lower case."""
-    # Letters with marks and their plain forms.
-    out = c
-    for a, b in (("ä", "ae"), ("ö", "oe"), ("ü", "ue"), ("Ä", "Ae"), ("Ö", "Oe"), ("Ü", "Ue"), ("ß", "ss")):
-        out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.translate(out, "áàâãåçéèêëíìîïñóòôõúùûýÿÁÀÂÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÕÚÙÛÝ", "aaaaaceeeeiiiinoooouuuyyAAAAACEEEEIIIINOOOOUUUY")
-    return F.lower(F.regexp_replace(out, "[^A-Za-z0-9]", ""))
+    """Umlauts written out, compatibility decomposition, ASCII letters and digits alone, lower case. Texts in ASCII, and
+    those without the few characters that become several, skip what they don't need."""
+    ones, others, many = plain_letters()
+    pairs = F.map_entries(F.str_to_map(F.lit("\x01".join(f"{a}\x02{b}" for a, b in many)), F.lit("\x01"), F.lit("\x02")))
+
+    def plain(x: Column) -> Column:
+        some = F.when(x.rlike("[" + "".join(a for a, _ in many) + "]"), F.aggregate(pairs, x, lambda acc, p: F.replace(acc, p["key"], p["value"]))).otherwise(x)
+        return F.when(x.rlike(r"[^\x00-\x7F]"), F.translate(some, ones, others)).otherwise(x)
+
+    # as elements of arrays, so that a long expression stands in the plan once
+    full = F.transform(F.transform(F.array(c), umlauts), plain)
+    return F.lower(F.regexp_replace(F.element_at(full, 1), "[^A-Za-z0-9]", ""))
+
+
+def escape_controls(c: Column) -> Column:
+    """``escape_literal`` and every other control character as \\u00xx."""
+    out = escape_literal(c)
+    points = [*range(0x00, 0x09), 0x0B, 0x0C, *range(0x0E, 0x20), *range(0x7F, 0xA0)]
+    full = reduce(lambda x, k: F.replace(x, F.lit(chr(k)), F.lit(f"\\u{k:04x}")), points, out)
+    return F.when(c.rlike(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F-\x9F]"), full).otherwise(out)
+
+
+def percent_all(c: Column) -> Column:
+    """Every byte outside A-Z a-z 0-9 as %HH."""
+    return F.replace(percent_token(c), F.lit("_"), F.lit("%5F"))
+
+
+def local_name(c: Column) -> Column:
+    """Local name of a property: umlauts written out, other characters outside ASCII as \\X2\\HHHH\\X0\\. A name without
+    lower-case letters keeps its characters, spaces as underscores, percent-encoded; of another each word gives its letters,
+    the first word starting in lower case, the others in upper case. A name that starts with no letter gets ``p_`` before
+    it; an empty one is ``value``."""
+    hexa = lambda x: F.lpad(F.hex(F.ascii(x)), F.greatest(F.lit(4), F.length(F.hex(F.ascii(x)))), F.lit("0"))
+    wide = F.array_join(F.transform(F.split(umlauts(c), ""), lambda x: F.when(F.ascii(x) < 128, x).otherwise(F.concat(F.lit("\\X2\\"), hexa(x), F.lit("\\X0\\")))), "")
+    text = F.when(c.rlike(r"[^\x00-\x7F]"), wide).otherwise(c)
+    words = F.filter(F.transform(F.split(text, r"\s+"), lambda w: F.regexp_replace(w, "[^A-Za-z]", "")), lambda w: w != "")
+    cased = F.array_join(F.transform(words, lambda w, k: F.concat(F.when(k == 0, F.lower(F.substring(w, 1, 1))).otherwise(F.upper(F.substring(w, 1, 1))), F.substring(w, 2, 1 << 30))), "")
+    local = F.when(F.upper(text) == text, percent_all(F.replace(text, F.lit(" "), F.lit("_")))).otherwise(cased)
+    return F.when(local == "", "value").when(local.rlike("^[A-Za-z]"), local).otherwise(F.concat(F.lit("p_"), local))
+
+
+def pascal_name(c: Column) -> Column:
+    """IFCWALLSTANDARDCASE to IfcWallstandardcase: after the first three letters a capital, and after each underscore or
+    digit, all else in lower case; underscores go. Names that do not start with IFC stay as they are."""
+    parts = F.regexp_extract_all(F.substring(F.lower(c), 4, 1 << 30), F.lit("[0-9]+|[^_0-9]+"), F.lit(0))
+    cased = F.transform(parts, lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 1 << 30)))
+    return F.when(F.upper(c).startswith("IFC"), F.concat(F.lit("Ifc"), F.array_join(cased, ""))).otherwise(c)
+
+
+def normal_number(o: Column, dt: Column) -> Column:
+    """A literal's text for comparison: doubles and integers in their plainest form, booleans in lower case; others, and
+    what is no number, as they are."""
+    number, whole = o.try_cast("double"), o.try_cast("bigint")
+    return F.when((dt == XSD + "double") & number.isNotNull(), value_to_string(number)).when((dt == XSD_INTEGER) & whole.isNotNull(), whole.cast("string")).when(dt == XSD_BOOLEAN, F.lower(o)).otherwise(o)
+
+
+# SI units with a name of their own, and the kinds of unit that measures are given in.
+UNIT = "http://qudt.org/vocab/unit/"
+SI_UNITS = {("METRE", ""): "M", ("METRE", "MILLI"): "MilliM", ("SQUARE_METRE", ""): "M2", ("SQUARE_METRE", "MILLI"): "MilliM2", ("CUBIC_METRE", ""): "M3", ("CUBIC_METRE", "MILLI"): "MilliM3", ("RADIAN", ""): "RAD", ("SECOND", ""): "SEC"}
+CONVERTED_UNITS = {"DEGREE": "DEG"}
+MEASURES = (("LENGTHMEASURE", "LENGTHUNIT"), ("PLANEANGLEMEASURE", "PLANEANGLEUNIT"), ("AREAMEASURE", "AREAUNIT"), ("VOLUMEMEASURE", "VOLUMEUNIT"))
+QUANTITY_UNITS = {"IFCQUANTITYLENGTH": "LENGTHUNIT", "IFCQUANTITYAREA": "AREAUNIT", "IFCQUANTITYVOLUME": "VOLUMEUNIT"}
+
+
+def lookup(names: dict[str, str], key: Column) -> Column:
+    """The entry of a small table, null without one."""
+    return F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), key) if names else F.lit(None).cast("string")
+
+
+def unit_iri(kind: Column, name: Column, prefix: Column) -> Column:
+    """IRI of a unit, null for those without; kind: si or conversion."""
+    si = lookup({f"{n}|{p}": UNIT + v for (n, p), v in SI_UNITS.items()}, F.concat(name, F.lit("|"), F.coalesce(prefix, F.lit(""))))
+    return F.when(kind == "si", si).when(kind == "conversion", lookup({n: UNIT + v for n, v in CONVERTED_UNITS.items()}, name))
+
+
+def measure_unit(measure: Column) -> Column:
+    """The kind of unit a measure is given in, by the end of its name."""
+    out = F.lit(None).cast("string")
+    for end, kind in reversed(MEASURES):
+        out = F.when(F.trim(measure).endswith(end), kind).otherwise(out)
+    return out
+
+
+def signature(kind: Column, value: Column, measure: Column) -> Column:
+    """A value's text with its kind before it; of a typed value, its type too. ``none`` without a value."""
+    letter = lookup({"string": "s:", "enum": "e:", "bool": "b:", "int": "i:", "real": "r:"}, kind)
+    return F.coalesce(F.concat(F.when(F.coalesce(measure, F.lit("")) != "", F.concat(F.lit("t:"), measure, F.lit(":"))).otherwise(""), letter, value), F.lit("none"))
+
+
+def relative_error(authored: Column, computed: Column) -> Column:
+    """Against the authored value; the plain difference where that is about zero."""
+    gap = F.abs(computed - authored)
+    return F.when(F.abs(authored) > 1e-9, gap / F.abs(authored)).otherwise(gap)
+
+
+def unit_error(authored: Column, computed: Column, factor: Column) -> Column:
+    """Whether two values differ by a unit's factor, either way, within one percent."""
+    ratio = computed / F.when(F.abs(authored) >= 1e-12, authored)
+    near = lambda x: F.abs(x - 1) < 0.01
+    return F.coalesce((F.abs(factor - 1) >= 1e-12) & (near(ratio * factor) | near(ratio / factor)), F.lit(False))
+
+
+def uuid5(namespace: str, name: Column) -> Column:
+    """Name-based UUID, version 5, of a fixed namespace."""
+    h = F.sha1(F.concat(F.unhex(F.lit(namespace.replace("-", ""))), F.encode(name, "UTF-8")))
+    version = F.concat(F.lit("5"), F.substring(h, 14, 3))
+    variant = F.concat(F.lower(F.hex(F.conv(F.substring(h, 17, 1), 16, 10).cast("bigint").bitwiseAND(3) + 8)), F.substring(h, 18, 3))
+    return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), version, variant, F.substring(h, 21, 12))
+
+
+# The alphabet of compressed ids.
+GUID_ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_$"
+
+
+def compressed_guid(uuid: Column) -> Column:
+    """A UUID in 22 characters: 2 bits, then 21 groups of 6."""
+    digits = F.concat(F.lit("0"), F.replace(uuid, F.lit("-"), F.lit("")))  # 33 digits: 11 groups of 3 are 22 characters
+    letter = lambda k: F.substring(F.lit(GUID_ALPHABET), F.lit(1) + k.cast("int"), F.lit(1))
+    group = lambda i: F.conv(F.substring(digits, i * 3 + 1, F.lit(3)), 16, 10).cast("bigint")
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.concat(letter(F.floor(group(i) / 64)), letter(group(i) % 64))), "")
+
+
+def expanded_guid(token: Column) -> Column:
+    """The UUID of 22 characters; null if they are none."""
+    place = lambda k: F.instr(F.lit(GUID_ALPHABET), F.substring(token, k, F.lit(1))) - 1
+    group = lambda i: F.lpad(F.lower(F.hex(place(i * 2 + 1) * 64 + place(i * 2 + 2))), 3, "0")
+    h = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10)), group), "")
+    parts = F.concat_ws("-", F.substring(h, 2, 8), F.substring(h, 10, 4), F.substring(h, 14, 4), F.substring(h, 18, 4), F.substring(h, 22, 12))
+    return F.when(token.rlike(r"^[0-3][0-9A-Za-z_$]{21}$"), parts)
+
+
+def canonical_guid(token: Column) -> Column:
+    """22 characters as they are, a UUID compressed, all else as it is."""
+    return F.when(token.rlike("^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"), compressed_guid(F.lower(token))).otherwise(token)
 
 
 # Powers of ten of SI prefixes.

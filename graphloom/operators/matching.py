@@ -1,13 +1,17 @@
-"""Entity matching: a ladder of lookups from exact to loose, and a blocked fuzzy join."""
+"""Entity matching: a ladder of lookups from exact to loose, ending in a blocked fuzzy join, and profiles of aliases."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass, field, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from graphloom.functions.terms import lookup, norm_key, trim_unicode
+from graphloom.operators.topology import with_checkpoints
 
 
 def jaro_winkler(a: str, b: str) -> float:
@@ -38,43 +42,304 @@ def jaro_winkler(a: str, b: str) -> float:
     return score + prefix * 0.1 * (1 - score)
 
 
-@F.pandas_udf(DoubleType())
-def jaro_winkler_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for a, b in pairs:
-        yield pd.Series([jaro_winkler(x or "", y or "") for x, y in zip(a, b)], dtype=float)
+def _codes(keys: list[str]) -> np.ndarray:
+    """Code points of keys of one length, a row for each."""
+    return np.frombuffer("".join(keys).encode("utf-32-le"), dtype=np.uint32).reshape(len(keys), -1)
+
+
+#: Scores are rounded to so many places, so that thresholds and ties do not hang on the last bit of a sum.
+PLACES = 12
+
+
+class Keys:
+    """Keys of one length as rows of code points; how many leading characters all share, and how often each key has each
+    character after those."""
+
+    def __init__(self, keys: list[str]) -> None:
+        self.keys, self.points = keys, _codes(keys)
+        self.shared = int(np.cumprod((self.points == self.points[0]).all(0)).sum())
+        self.whole, self.rest = self._counts(0), self._counts(self.shared)
+
+    def _counts(self, start: int) -> dict[int, np.ndarray]:
+        rest = self.points[:, start:]
+        return {int(c): (rest == c).sum(1) for c in np.unique(rest)}
+
+    def close_to(self, key: str, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the keys whose ``jaro_winkler`` with ``key`` is ``least`` or more.
+
+        Leading characters that two keys share match each other in place, so those that all keys share are counted and left
+        out. Then a bound: no more of the others can match than both have of each, and none need be swapped."""
+        a, x = _codes([key])[0], self.points
+        n, m = len(a), x.shape[1]
+        at = self.shared if self.shared <= n and (a[: self.shared] == x[0, : self.shared]).all() else 0
+        counts = self.rest if at else self.whole
+        start = min(4, n, m)
+        prefix = np.cumprod(x[:, :start] == a[:start], axis=1).sum(1) if at < start else np.full(len(x), start)
+        most = np.full(len(x), at, dtype=np.int64)
+        for c, k in zip(*(v.tolist() for v in np.unique(a[at:], return_counts=True))):
+            if c in counts:
+                most += np.minimum(counts[c], k)
+
+        def score(hits: np.ndarray, swaps: np.ndarray | int, prefix: np.ndarray) -> np.ndarray:
+            jaro = (hits / n + hits / m + (hits - swaps) / np.maximum(hits, 1)) / 3
+            return jaro + prefix * 0.1 * (1 - jaro)
+
+        rows = np.flatnonzero((most > 0) & (score(most, 0, prefix) >= least - 1e-9))
+        a, x, reach = a[at:], x[rows, at:], max(max(n, m) // 2 - 1, 0)
+        used, hit, every = np.zeros(x.shape, dtype=bool), np.zeros((len(rows), len(a)), dtype=bool), np.arange(len(rows))
+        for i in range(len(a)):
+            low, high = max(0, i - reach), min(x.shape[1], i + reach + 1)
+            if low >= high:
+                continue
+            free = (x[:, low:high] == a[i]) & ~used[:, low:high]
+            j = free.argmax(1)
+            hit[:, i] = free[every, j]
+            used[every, low + j] |= hit[:, i]
+        # row by row, the characters of the key that match and those of the other, each in their own order
+        of, mine = np.nonzero(hit)
+        _, theirs = np.nonzero(used)
+        swaps = np.bincount(of[a[mine] != x[of, theirs]], minlength=len(rows)) // 2
+        hits = at + hit.sum(1)
+        out = np.where(hits > 0, score(hits, swaps, prefix[rows]), 0.0)
+        if n == m:
+            out[(x == a).all(1)] = 1.0
+        out = np.round(out, PLACES)
+        keep = out >= least
+        return rows[keep], out[keep]
+
 
+#: Keys of a block of the fuzzy join, on either side: a task compares two blocks.
+FUZZY_BLOCK = 2048
 
-def cascade(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """``queries``: id, cls, pset, prop (normalised keys). ``index``: cls, pset, prop, code. Per query the first level that
-    has candidates: exact (all three), pset and prop, class and prop, prop alone. One code: matched with the level's
-    confidence; several: ambiguous; none: unmapped. Levels look up counted keys, so no join multiplies rows."""
-    levels = (("exact", ("cls", "pset", "prop"), 1.0), ("pset_prop", ("pset", "prop"), 0.95), ("class_prop", ("cls", "prop"), 0.9), ("prop", ("prop",), 0.85))
-    out = queries
-    for name, keys, _ in levels:
-        counted = index.groupBy(*keys).agg(F.count_distinct("code").alias(f"n_{name}"), F.min("code").alias(f"c_{name}"))
-        out = out.join(counted, list(keys), "left")
-    level, status, code, confidence = F.lit("none"), F.lit("unmapped"), F.lit(None).cast("string"), F.lit(0.0)
-    for name, _, sure in reversed(levels):
-        n = F.col(f"n_{name}")
-        level = F.when(n.isNotNull(), name).otherwise(level)
-        status = F.when(n == 1, "matched").when(n > 1, "ambiguous").otherwise(status)
-        code = F.when(n == 1, F.col(f"c_{name}")).when(n > 1, F.lit(None)).otherwise(code)
-        confidence = F.when(n == 1, F.lit(sure)).when(n > 1, F.lit(0.0)).otherwise(confidence)
-    return out.select("id", level.alias("level"), status.alias("status"), code.alias("code"), confidence.alias("confidence"))
+
+def _compared(least: float, ties: float, most_length: int):
+    """Two blocks: the pairs that reach ``least`` and come within ``ties`` of the best that the block has for a key."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows: list[tuple[str, str, str, float]] = []
+        by_length: dict[int, list[str]] = {}
+        for key in dict.fromkeys(right.column("key").to_pylist()):
+            by_length.setdefault(len(key), []).append(key)
+        known = {n: Keys(keys) for n, keys in by_length.items()}
+        cls = left.column("cls")[0].as_py() if left.num_rows else None
+        for key in left.column("key").to_pylist() if right.num_rows else []:
+            found = [(known[n].keys[r], s) for n in known if abs(n - len(key)) <= most_length for r, s in zip(*(x.tolist() for x in known[n].close_to(key, least)))]
+            best = max((s for _, s in found), default=0.0)
+            rows += [(cls, key, other, s) for other, s in found if s + ties >= best]
+        return pa.table({"cls": pa.array([r[0] for r in rows], pa.string()), "key": pa.array([r[1] for r in rows], pa.string()), "other": pa.array([r[2] for r in rows], pa.string()), "score": pa.array([r[3] for r in rows], pa.float64())})
+
+    return run
+
+
+def close_keys(keys: DataFrame, index: DataFrame, least: float = 0.94, ties: float = 0.02, most_length: int = 3) -> DataFrame:
+    """(cls, key, other, score): for each distinct key of ``keys`` (cls, key) those of ``index`` (cls, key) in the same block
+    (class and first character), of a length that differs by at most ``most_length``, with a similarity of ``least`` or more
+    and within ``ties`` of the key's best.
+
+    Each side of a block is cut into parts of about FUZZY_BLOCK keys; a part meets every part of the other side, so a block
+    that holds everything is as many tasks as it needs, and a pair is compared once."""
+    first = lambda df: df.where("cls IS NOT NULL AND key <> ''").select("cls", "key", F.substring("key", 1, 1).alias("first")).distinct()
+    left, right = first(keys), first(index)
+    parts = lambda df, name: df.groupBy("cls", "first").agg(F.ceil(F.count("*") / FUZZY_BLOCK).cast("int").alias(name))
+    blocks = parts(left, "ln").join(parts(right, "rn"), ["cls", "first"])
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    left = left.join(blocks, ["cls", "first"]).select("cls", "key", "first", own("ln").alias("i"), every("rn").alias("j"))
+    right = right.join(blocks, ["cls", "first"]).select("cls", "key", "first", every("ln").alias("i"), own("rn").alias("j"))
+    at = ["cls", "first", "i", "j"]
+    scored = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_compared(least, ties, most_length), "cls string, key string, other string, score double")
+    return scored.withColumn("best", F.max("score").over(Window.partitionBy("cls", "key"))).where(F.col("score") + ties >= F.col("best")).drop("best")
 
 
 def fuzzy(queries: DataFrame, index: DataFrame, least: float = 0.94, ties: float = 0.02, most_length: int = 3) -> DataFrame:
-    """id, code, score of each query's best candidates of the same block (class and first character) and a length that
-    differs by at most ``most_length``; those within ``ties`` of the best stay. ``queries``: id, cls, key; ``index``: cls,
-    key, code. Distinct keys are compared once, whatever the number of queries that share one."""
-    keys = queries.select("cls", "key").distinct()
-    block = lambda df: df.withColumn("first", F.substring("key", 1, 1))
-    right = block(index.select("cls", F.col("key"), "code").distinct()).withColumnRenamed("key", "other")
-    right = right.withColumn("first", F.substring("other", 1, 1))
-    pairs = block(keys).join(right, ["cls", "first"]).where(F.abs(F.char_length("key") - F.char_length("other")) <= most_length)
-    scored = pairs.withColumn("score", jaro_winkler_score("key", "other")).where(F.col("score") >= least)
-    best = scored.withColumn("best", F.max("score").over(Window.partitionBy("cls", "key"))).where(F.col("score") + ties >= F.col("best"))
-    return queries.join(best.select("cls", "key", "code", "score"), ["cls", "key"]).select("id", "code", "score").distinct()
+    """id, code, score of each query's best candidates (see ``close_keys``). ``queries``: id, cls, key; ``index``: cls, key,
+    code. Distinct keys are compared once, whatever the number of queries that share one. A code that several keys of the
+    index lead to counts with its best score."""
+    close = close_keys(queries, index, least, ties, most_length)
+    coded = close.join(index.select("cls", F.col("key").alias("other"), "code").distinct(), ["cls", "other"])
+    best = coded.groupBy("cls", "key", "code").agg(F.max("score").alias("score"))
+    return queries.join(best, ["cls", "key"]).select("id", "code", "score").distinct()
+
+
+@dataclass(frozen=True)
+class Profile:
+    """Aliases (normalised key to name) of classes, property sets and properties, of properties within a set, of classes
+    within a schema; codes set by hand for ``class|set|property`` or ``schema|class|set|property``; the fuzzy rung."""
+
+    name: str = ""
+    class_aliases: dict[str, str] = field(default_factory=dict)
+    set_aliases: dict[str, str] = field(default_factory=dict)
+    prop_aliases: dict[str, str] = field(default_factory=dict)
+    set_prop_aliases: dict[str, dict[str, str]] = field(default_factory=dict)
+    schema_class_aliases: dict[str, dict[str, str]] = field(default_factory=dict)
+    hard: dict[str, str] = field(default_factory=dict)
+    fuzzy: bool = True
+    least: float = 0.94
+    scope: str = "class"  # or set, or never
+
+    def over(self, base: Profile) -> Profile:
+        """This profile on top of ``base``: its entries win, key by key; its fuzzy rung too where it sets one."""
+        nested = lambda low, high: {k: low.get(k, {}) | high.get(k, {}) for k in low | high}
+        rung = self if self.least != Profile.least or not self.fuzzy else base
+        return Profile(
+            self.name or base.name, base.class_aliases | self.class_aliases, base.set_aliases | self.set_aliases, base.prop_aliases | self.prop_aliases,
+            nested(base.set_prop_aliases, self.set_prop_aliases), nested(base.schema_class_aliases, self.schema_class_aliases), base.hard | self.hard, rung.fuzzy, rung.least, rung.scope,
+        )
+
+
+def inherited(profiles: dict[str, tuple[Profile, str | None]], name: str) -> Profile:
+    """The profile with all it extends under it; ``profiles``: name to (profile, name of what it extends)."""
+    chain: list[Profile] = []
+    seen: set[str] = set()
+    at: str | None = name
+    while at is not None:
+        if at in seen or at not in profiles:
+            raise ValueError(f"profile {at} {'extends itself' if at in seen else 'is unknown'}")
+        seen.add(at)
+        own, at = profiles[at]
+        chain.append(own)
+    out = chain.pop()
+    while chain:
+        out = chain.pop().over(out)
+    return replace(out, name=profiles[name][0].name or name)
+
+
+def surfaces(c: Column, segments: bool) -> Column:
+    """array<string> of the forms of a name: trimmed; with single colons; without the prefix that some programs write; and
+    with ``segments`` also what follows the last separator, and the first space, of each of these."""
+    plain = trim_unicode(c)
+    compact = F.replace(plain, F.lit("::"), F.lit(":"))
+    head, tail = F.substring_index(compact, " ", 1), trim_unicode(F.when(F.instr(compact, " ") > 0, F.substring(compact, F.instr(compact, " ") + 1, F.length(compact))))
+    # The starts of such prefixes.
+    prefixed = norm_key(head).startswith("bsdpset") | norm_key(head).startswith("psetrevit")
+    forms = F.array(plain, compact, F.when(prefixed, tail))
+    if segments:
+        after = lambda x: [trim_unicode(F.substring_index(x, sep, -1)) for sep in (":", "/", "\\", "|")] + [trim_unicode(F.when(F.instr(x, " ") > 0, F.substring(x, F.instr(x, " ") + 1, F.length(x))))]
+        forms = F.concat(forms, F.flatten(F.transform(forms, lambda x: F.array(*after(x)))))
+    return F.array_distinct(F.filter(forms, lambda x: x.isNotNull() & (x != "")))
+
+
+def variants(c: Column, *aliases: Column, segments: bool = False) -> Column:
+    """array<string> of distinct normalised keys, best first: those of the aliases (null: none), then of the name."""
+    names = F.filter(F.array(*aliases, c), lambda x: x.isNotNull())
+    return F.array_distinct(F.filter(F.flatten(F.transform(names, lambda n: F.transform(surfaces(n, segments), norm_key))), lambda x: x != ""))
+
+
+def keyed(queries: DataFrame, profile: Profile) -> DataFrame:
+    """``queries`` (schema, cls, pset, prop) with arrays of variants _c, _s, _p."""
+    scoped = {f"{s}|{k}": v for s, names in profile.set_prop_aliases.items() for k, v in names.items()}
+    by_schema = {f"{s}|{k}": v for s, names in profile.schema_class_aliases.items() for k, v in names.items()}
+    key = lambda c: norm_key(F.col(c))
+    rows = queries.withColumn("_s", variants(F.col("pset"), lookup(profile.set_aliases, key("pset"))))
+    rows = rows.withColumn("_c", variants(F.col("cls"), lookup(profile.class_aliases, key("cls")), lookup(by_schema, F.concat_ws("|", "schema", key("cls")))))
+    set_key = F.coalesce(F.get("_s", F.lit(0)), F.lit(""))
+    return rows.withColumn("_p", variants(F.col("prop"), lookup(profile.prop_aliases, key("prop")), lookup(scoped, F.concat_ws("|", set_key, key("prop"))), segments=True))
+
+
+def ladder(queries: DataFrame, index: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """``queries`` with status, method, code, candidates (sorted array of codes of an ambiguous match) and confidence.
+
+    ``queries``: any columns, with schema, cls, pset and prop as they are written; ``index``: cls, pset, prop (normalised)
+    and code. The first rung with candidates decides: codes set by hand and exact keys (the first variant that has one),
+    set and property, class and property, property, and close properties of the class. One code: mapped or normalized;
+    several: ambiguous; none at all: unmapped. Distinct keys are resolved once, whatever the number of their rows; they, and
+    what the rungs before the last find, are checkpointed."""
+    names = ["schema", "cls", "pset", "prop"]
+    text = queries.select("*", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in names])
+    keys = text.select(*[F.col(f"_{c}").alias(c) for c in names]).distinct().withColumn("_id", F.sha1(F.to_json(F.struct(*names))))
+    with_checkpoints(queries.sparkSession)
+    keys = keyed(keys, profile).checkpoint()  # every rung reads them
+    crossed = lambda df, *arrays: _positions(df, arrays)
+    exact = crossed(keys.select("_id", "schema", "_c", "_s", "_p"), "_c", "_s", "_p")
+    rungs = []
+    hard = lookup(profile.hard, F.concat_ws("|", F.lower("schema"), "_c", "_s", "_p")), lookup(profile.hard, F.concat_ws("|", "_c", "_s", "_p"))
+    rows = exact.withColumn("_hard", F.coalesce(*hard)).join(index.groupBy("cls", "pset", "prop").agg(F.min("code").alias("code")), [exact["_c"] == F.col("cls"), exact["_s"] == F.col("pset"), exact["_p"] == F.col("prop")], "left")
+    rows = rows.where("_hard IS NOT NULL OR code IS NOT NULL").groupBy("_id").agg(F.min_by(F.struct(F.coalesce("_hard", "code").alias("code"), F.when(F.col("_hard").isNotNull(), "hard_override").otherwise("exact_class_pset_prop").alias("method")), "_at").alias("r"))
+    rungs.append(rows.select("_id", F.lit(1).alias("rung"), F.array("r.code").alias("codes"), F.col("r.method").alias("method"), F.lit(1.0).alias("sure")))
+    for rung, (name, used, sure) in enumerate((("pset_prop", ("_s", "_p"), 0.95), ("class_prop", ("_c", "_p"), 0.9), ("prop", ("_p",), 0.85)), 2):
+        real = {"_c": "cls", "_s": "pset", "_p": "prop"}
+        some = crossed(keys.select("_id", *used), *used)
+        hits = some.join(index.select(*[F.col(real[u]).alias(u) for u in used], "code").distinct(), list(used))
+        rungs.append(hits.groupBy("_id").agg(F.sort_array(F.collect_set("code")).alias("codes")).select("_id", F.lit(rung).alias("rung"), "codes", F.lit(name).alias("method"), F.lit(sure).alias("sure")))
+    found = rungs[0]
+    for r in rungs[1:]:
+        found = found.union(r)
+    found = found.groupBy("_id").agg(F.min_by(F.struct("rung", "codes", "method", "sure"), "rung").alias("r")).checkpoint()
+    if profile.fuzzy and profile.scope != "never":
+        found = found.union(_fuzzy_rung(keys.join(found, "_id", "left_anti"), index, profile))
+    one, at = F.size("r.codes") == 1, F.col("r.rung")
+    method = F.when(at == 1, F.col("r.method")).when(at == 5, F.when(one, "fuzzy").otherwise("fuzzy_ambiguous")).otherwise(F.concat(F.when(one, "normalized_").otherwise("ambiguous_"), F.col("r.method")))
+    status = F.when(at.isNull(), "unmapped").when(~one, "ambiguous").when(at == 1, "mapped").otherwise("normalized")
+    none = F.array().cast("array<string>")
+    done = keys.select(*names, "_id").join(found, "_id", "left").select(
+        *[F.col(c).alias(f"_{c}") for c in names], status.alias("status"), F.coalesce(method, F.lit("unmapped")).alias("method"), F.when(one, F.get("r.codes", F.lit(0))).alias("code"),
+        F.when(~one, F.col("r.codes")).otherwise(none).alias("candidates"), F.when(one, F.col("r.sure")).alias("confidence"),
+    )
+    return text.join(done, [f"_{c}" for c in names]).drop(*[f"_{c}" for c in names])
+
+
+def _positions(df: DataFrame, arrays: tuple[str, ...]) -> DataFrame:
+    """A row for every combination of the arrays' elements, with _at: its place in their order."""
+    at = F.lit(0)
+    for a in arrays:
+        rest = [c for c in df.columns if c != a and c != "_at"]
+        df = df.withColumn("_at", at).select(*rest, "_at", F.posexplode(a).alias("_n", a))
+        df = df.withColumn("_at", F.col("_at") * 1000 + F.col("_n")).drop("_n")
+        at = F.col("_at")
+    return df
+
+
+def _fuzzy_rung(keys: DataFrame, index: DataFrame, profile: Profile) -> DataFrame:
+    """The rung of close properties, in the scope of the first class (or set) variant: the first property variant that has
+    any decides; its codes within the ties of the best."""
+    scope, column = ("_s", "pset") if profile.scope == "set" else ("_c", "cls")
+    asked = _positions(keys.select("_id", F.get(scope, F.lit(0)).alias("cls"), "_p"), ("_p",)).withColumnRenamed("_p", "key")
+    known = index.select(F.col(column).alias("cls"), F.col("prop").alias("key"), "code")
+    close = close_keys(asked, known, profile.least).join(known.select("cls", F.col("key").alias("other"), "code").distinct(), ["cls", "other"])
+    close = close.groupBy("cls", "key").agg(F.max("score").alias("sure"), F.sort_array(F.collect_set("code")).alias("codes"))
+    rows = asked.join(close, ["cls", "key"])
+    return rows.groupBy("_id").agg(F.min_by(F.struct(F.lit(5).alias("rung"), "codes", F.lit("fuzzy").alias("method"), "sure"), "_at").alias("r"))
+
+
+def resolve_classes(names: DataFrame, classes: DataFrame, profile: Profile = Profile()) -> DataFrame:
+    """(name, code) of ``names`` (name): the first variant that ``classes`` (key normalised, code) has, then the name with
+    and without IFC before it; null if none. Distinct names are resolved once."""
+    asked = names.select("name").distinct()
+    bare = F.regexp_replace(F.upper(trim_unicode(F.col("name"))), "^IFC", "")
+    forms = F.concat(variants(F.col("name"), lookup(profile.class_aliases, norm_key(F.col("name")))), F.array(norm_key(F.col("name")), norm_key(F.concat(F.lit("IFC"), bare))))
+    rows = _positions(asked.select("name", F.array_distinct(forms).alias("key")), ("key",)).join(classes.select("key", "code"), "key")
+    return asked.join(rows.groupBy("name").agg(F.min_by("code", "_at").alias("code")), "name", "left")
+
+
+def histogram(matches: DataFrame, top: int = 20) -> DataFrame:
+    """The ``top`` unmapped ``pset|prop`` by rows, then by name."""
+    rows = matches.where("status = 'unmapped'").groupBy(F.concat_ws("|", "pset", "prop").alias("key")).agg(F.count("*").alias("n"))
+    return rows.orderBy(F.desc("n"), "key").limit(top)
+
+
+def score(matches: DataFrame, places: int = 3) -> DataFrame:
+    """One row: shares of mapped, normalized, ambiguous and unmapped rows, and of fuzzy ones the least, mean and greatest
+    confidence; the mean confidence of all that have one."""
+    share = lambda s: F.round(F.avg((F.col("status") == s).cast("int")), places).alias(s)
+    close = F.when(F.col("method") == "fuzzy", F.col("confidence"))
+    return matches.agg(F.count("*").alias("rows"), *[share(s) for s in ("mapped", "normalized", "ambiguous", "unmapped")], F.round(F.avg("confidence"), places).alias("confidence"), F.round(F.min(close), places).alias("fuzzy_min"), F.round(F.avg(close), places).alias("fuzzy_avg"), F.round(F.max(close), places).alias("fuzzy_max"))
+
+
+def build_index(entries: DataFrame) -> DataFrame:
+    """(scope, key, codes, n) of ``entries`` (cls, pset, prop, code as written): sorted distinct codes for each normalised
+    key of the four scopes."""
+    c, s, p = norm_key(F.col("cls")), norm_key(F.col("pset")), norm_key(F.col("prop"))
+    scopes = F.array(*[F.struct(F.lit(n).alias("scope"), F.concat_ws("|", *k).alias("key")) for n, k in (("exact", (c, s, p)), ("pset_prop", (s, p)), ("class_prop", (c, p)), ("prop", (p,)))])
+    rows = entries.select("code", F.explode(scopes).alias("k")).groupBy("k.scope", "k.key").agg(F.sort_array(F.collect_set("code")).alias("codes"))
+    return rows.select("scope", "key", "codes", F.size("codes").alias("n"))
+
+
+def inspect(index: DataFrame, scope: str | None = None, contains: str | None = None) -> DataFrame:
+    """Rows of an index of one scope whose key holds a piece of text; without either, a summary by scope."""
+    if scope is None and contains is None:
+        return index.groupBy("scope").agg(F.count("*").alias("keys"), F.sum((F.col("n") > 1).cast("int")).cast("long").alias("ambiguous"))
+    rows = index if scope is None else index.where(F.col("scope") == scope)
+    return rows if contains is None else rows.where(F.col("key").contains(contains))
 
 
 def statistics(matches: DataFrame) -> DataFrame:

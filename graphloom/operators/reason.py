@@ -175,6 +175,11 @@ class Alignment:
         return out.withColumns({"p": F.coalesce("_p", "p"), "o": F.coalesce("_o", "o")}).select(*COLUMNS)
 
 
+def single_children(edges: DataFrame) -> DataFrame:
+    """(parent, child) of parents with one child (edges: child, parent): the sub-relations that also hold backwards."""
+    return edges.groupBy("parent").agg(F.min("child").alias("child"), F.count_distinct("child").alias("_n")).where("_n = 1").select("parent", "child")
+
+
 def postprocess(triples: DataFrame, alignment: Alignment, rules: dict[str, object]) -> DataFrame:
     """What alignment changes, and what the rules infer over the triples and those."""
     mapped = alignment.changed(triples)

@@ -37,6 +37,19 @@ def expand(rows: DataFrame, subject: Column, pairs: list[tuple[str | Column, Col
     return out.where("s is not null and o is not null").select(*COLUMNS)
 
 
+def about(subject: Column, pairs: list[tuple[str | Column, Column]]) -> list[Column]:
+    """Triples of one subject, for ``exploded``."""
+    return [F.struct(subject.alias("s"), lit_or(p).alias("p"), o.alias("v")) for p, o in pairs]
+
+
+def exploded(rows: DataFrame, each: list[Column], more: Column | None = None) -> DataFrame:
+    """The triples ``each`` row has, of several subjects (see ``about``; ``more``: an array of such), where subject and object
+    are not null: one scan, one explode, whatever their number."""
+    every = F.array(*each) if more is None else F.concat(F.array(*each), more)
+    out = rows.select(F.explode(every).alias("e")).select(F.col("e.s").alias("s"), F.lit("iri").alias("s_kind"), F.col("e.p").alias("p"), *[F.col(f"e.v.{c}").alias(c) for c in OBJECT], F.lit("").alias("g"))
+    return out.where("s is not null and o is not null").select(*COLUMNS)
+
+
 def typed(rows: DataFrame, subject: Column, cls: str, graph: Column | str = "") -> DataFrame:
     return expand(rows, subject, [(RDF_TYPE, iri(cls))], graph=graph)
 
@@ -139,6 +152,31 @@ def chunk_of_lines(lines: DataFrame, order: list[Column | str], chunk: int) -> D
     return numbered(lines, order).withColumn("chunk", F.floor(F.col("line_no") / chunk).cast("long"))
 
 
+def chunk_of_bytes(lines: DataFrame, order: list[Column | str], most: int, column: str = "value") -> DataFrame:
+    """Lines with the chunk they fall in: a line is in the chunk of ``most`` bytes that holds its first byte, line ends
+    counted. Sums run over ranges, as numbers do."""
+    parts = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id()).withColumn("_n", F.octet_length(column).cast("long") + 1)
+    parts = parts.persist()
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
+    sizes = parts.groupBy("_p").agg(F.sum("_n").alias("_s")).withColumn("_b", F.coalesce(F.sum("_s").over(before), F.lit(0))).select("_p", "_b")
+    inside = Window.partitionBy("_p").orderBy("_i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = parts.withColumn("_o", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(sizes), "_p")
+    return rows.withColumn("chunk", F.floor((F.col("_b") + F.col("_o")) / most).cast("long")).drop("_p", "_i", "_n", "_b", "_o")
+
+
+def used_prefixes(triples: DataFrame, prefixes: dict[str, str]) -> DataFrame:
+    """(prefix) of those whose namespace an IRI of the triples is compacted with."""
+    terms = triples.select(F.explode(F.array(F.when(F.col("s_kind") == "iri", F.col("s")), F.col("p"), F.when(F.col("o_kind") == "iri", F.col("o")), F.when(F.col("o_dt") != "", F.col("o_dt")))).alias("t")).where("t IS NOT NULL")
+    short = compact_iri(F.col("t"), prefixes)
+    return terms.select(F.when(~short.startswith("<"), F.substring_index(short, ":", 1)).alias("prefix")).where("prefix IS NOT NULL").distinct()
+
+
+def as_triples(quads: DataFrame) -> DataFrame:
+    """Quads without their graph; a literal with a language gets the datatype of such literals, and loses the tag."""
+    tagged = F.col("o_lang") != ""
+    return quads.withColumns({"o_dt": F.when(tagged, "http://www.w3.org/1999/02/22-rdf-syntax-ns#langString").otherwise(F.col("o_dt")), "o_lang": F.lit(""), "g": F.lit("")}).select(*COLUMNS)
+
+
 def numbered(lines: DataFrame, order: list[Column | str]) -> DataFrame:
     """``lines`` with line_no from 0 in global ``order``, by a range-partitioned sort and per-partition counts."""
     parts = lines.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))

@@ -176,13 +176,13 @@ class Compiler:
         return rows.select(*[F.col("_t")[c].alias(c) for c in COLUMNS])
 
 
-    def run(self) -> DataFrame:
-        """All maps, as a set of triples."""
+    def run(self, distinct: bool = True) -> DataFrame:
+        """All maps, as a set of triples; without ``distinct`` as they come, which needs no shuffle."""
         out = None
         for m in self.maps:
             part = self.compile(m)
             out = part if out is None else out.union(part)
-        return out.distinct()
+        return out.distinct() if distinct else out
 
 
 def _crossed(subjects: Column, edges: Column) -> Column:

@@ -6,17 +6,17 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE, XSD
-from graphloom.operators.reason import Cardinality, Complement, Every, HasValue, Intersection, Named, Some, Union
+from graphloom.operators.reason import Alignment, Cardinality, Complement, Every, HasValue, Intersection, Named, Some, Union
 
 RDF, OWL = "http://www.w3.org/1999/02/22-rdf-syntax-ns#", "http://www.w3.org/2002/07/owl#"
 TOKEN = re.compile(
     r"""\s+|\#[^\n]*|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<long>\"{3}(?:[^"\\]|\\.|"(?!""))*\"{3})|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')"""
     r"""|(?P<num>[+-]?(?:\d+\.\d+|\.\d+|\d+)(?:[eE][+-]?\d+)?)|(?P<at>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<dt>\^\^)|(?P<bnode>_:[\w.-]*\w)"""
-    r"""|(?P<name>[A-Za-z][\w.-]*\w?:[\w.%-]*[\w%-]|[A-Za-z][\w-]*:|:[\w.%-]*[\w%-]|:)|(?P<word>true|false|a|PREFIX|BASE|prefix|base)\b|(?P<mark>[.;,\[\]()])""",
+    r"""|(?P<name>[A-Za-z][\w.-]*\w?:[\w.%-]*[\w%-]|[A-Za-z][\w-]*:|:[\w.%-]*[\w%-]|:)|(?P<word>true|false|a|PREFIX|BASE|GRAPH|prefix|base|graph)\b|(?P<mark>[.;,\[\](){}])""",
     re.S,
 )
 ESCAPE = {"n": "\n", "r": "\r", "t": "\t", '"': '"', "'": "'", "\\": "\\", "b": "\b", "f": "\f"}
@@ -39,8 +39,10 @@ class Turtle:
                 self.tokens.append((m.lastgroup, m[0]))
             at = m.end()
         self.k, self.prefixes, self.base, self.n, self.triples = 0, {}, "", 0, []
+        self.graphs: list[str] = []
         while self.k < len(self.tokens):
-            self._statement()
+            self._graph()
+            self.graphs += [""] * (len(self.triples) - len(self.graphs))
 
     def _next(self, expect: str | None = None) -> tuple[str, str]:
         if self.k >= len(self.tokens):
@@ -54,7 +56,28 @@ class Turtle:
     def _peek(self) -> str:
         return self.tokens[self.k][1] if self.k < len(self.tokens) else ""
 
-    def _statement(self) -> None:
+    @property
+    def quads(self) -> list[tuple[str, str, tuple, str]]:
+        """(s, p, o, graph), the graph empty outside of any."""
+        return [(*t, g) for t, g in zip(self.triples, self.graphs)]
+
+    def _graph(self) -> None:
+        """A statement, or statements in braces with or without a name before them (TriG)."""
+        ahead = [t for _, t in self.tokens[self.k : self.k + 3]]
+        word = ahead[0].upper() == "GRAPH"
+        if not ("{" in ahead[:1] or word or "{" in ahead[1:2]):
+            self._statement()
+            return
+        self.k += word
+        name = "" if self._peek() == "{" else self._term()[1]
+        self._next("{")
+        before = len(self.triples)
+        while self._peek() != "}":
+            self._statement(inside=True)
+        self._next("}")
+        self.graphs += [""] * (before - len(self.graphs)) + [name] * (len(self.triples) - before)
+
+    def _statement(self, inside: bool = False) -> None:
         word = self._peek().lower()
         if word in ("@prefix", "prefix", "@base", "base"):
             self._next()
@@ -71,14 +94,15 @@ class Turtle:
         subject = self._term()
         if not (alone and self._peek() == "."):
             self._pairs(subject[1])
-        self._next(".")
+        if not (inside and self._peek() == "}"):
+            self._next(".")
 
     def _resolve(self, text: str) -> str:
         iri = unescape(text[1:-1])
         return iri if re.match(r"[A-Za-z][\w+.-]*:", iri) else self.base + iri
 
     def _pairs(self, s: str) -> None:
-        while self._peek() not in (".", "]"):
+        while self._peek() not in (".", "]", "}"):
             p = self._term()
             while True:
                 self.triples.append((s, p[1], self._term()))
@@ -173,7 +197,9 @@ def class_expression(doc: Turtle, node: tuple[str, str, str, str]):
     if found := doc.values(name, OWL + "hasValue"):
         kind, value, dt, lang = found[0]
         return HasValue(p, value, kind, dt, lang)
-    for key, how in (("cardinality", "exact"), ("minCardinality", "min"), ("maxCardinality", "max"), ("qualifiedCardinality", "exact"), ("minQualifiedCardinality", "min"), ("maxQualifiedCardinality", "max")):
+    if doc.one(name, OWL + "onClass") is not None:
+        raise ValueError(f"qualified cardinality {name}: counts of values of one class aren't known")
+    for key, how in (("cardinality", "exact"), ("minCardinality", "min"), ("maxCardinality", "max")):
         if (n := doc.one(name, OWL + key)) is not None:
             return Cardinality(p, how, int(n))
     raise ValueError(f"unknown restriction {name}")
@@ -191,20 +217,63 @@ def rules(doc: Turtle) -> tuple[dict[str, object], list[str]]:
     return out, warnings
 
 
+RDFS, ALIGN = "http://www.w3.org/2000/01/rdf-schema#", "http://knowledgeweb.semanticweb.org/heterogeneity/alignment#"
+
+
+def alignment(doc: Turtle, ontology: Turtle | None = None) -> Alignment:
+    """Renames of an alignment document: equivalences both ways, sub-relations forward, and back where the parent has that
+    one child, cells that name two entities as properties; with an ontology's own, which fill what is missing."""
+
+    def named(p: str) -> list[tuple[str, str]]:
+        return [(s, o[1]) for s, q, o in doc.triples if q == p and o[0] == "iri" and not s.startswith("_:")]
+
+    cells = [(a, b) for s in dict.fromkeys(s for s, p, _ in doc.triples if p == ALIGN + "entity1") if (a := doc.one(s, ALIGN + "entity1")) and (b := doc.one(s, ALIGN + "entity2"))]
+    own = Alignment.of(named(OWL + "equivalentProperty"), named(RDFS + "subPropertyOf"), named(OWL + "equivalentClass"), named(RDFS + "subClassOf"))
+    own = Alignment(own.properties | dict(cells), own.classes)
+    return own.fill(alignment(ontology)) if ontology else own
+
+
 NT = r"^\s*(<[^>]*>|_:\S+)\s+<([^>]*)>\s+(<[^>]*>|_:\S+|\"(?:[^\"\\]|\\.)*\"(?:@[A-Za-z0-9-]+|\^\^<[^>]*>)?)\s*(?:<([^>]*)>)?\s*\.\s*(?:#.*)?$"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """N-Triples or N-Quads files as triples; comments and blank lines are left out, other unreadable lines too. Character
-    escapes by number stay as they are written."""
+def unescaped(c: Column) -> Column:
+    """A text with its character escapes read, those by number too."""
+    hold = "\uffff"  # no character, so no text has it
+    for a, b in (("\\\\", hold), ('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+
+    def character(x: Column) -> Column:
+        """The character of an escape; beyond 16 bits, as two units."""
+        point = F.conv(F.substring(x, 3, 8), 16, 10).cast("bigint")
+        high = F.concat(F.hex(F.floor((point - 0x10000) / 0x400) + 0xD800), F.hex((point - 0x10000) % 0x400 + 0xDC00))
+        return F.decode(F.unhex(F.when(point < 0x10000, F.lpad(F.hex(point), 4, "0")).otherwise(high)), "UTF-16BE")
+
+    escape = r"\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}"
+    hits, gaps = F.regexp_extract_all(c, F.lit(escape), F.lit(0)), F.split(c, escape, -1)
+    both = F.zip_with(gaps, F.concat(F.transform(hits, character), F.array(F.lit(""))), lambda gap, x: F.concat(gap, x))
+    return F.replace(F.when(c.rlike(escape), F.array_join(both, "")).otherwise(c), F.lit(hold), F.lit("\\"))
+
+
+def unreadable(spark: SparkSession, path: str) -> DataFrame:
+    """(file, value) of the lines that ``read_lines`` cannot read: neither a statement, nor blank, nor a comment."""
+    return spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(~F.col("value").rlike(NT) & ~F.col("value").rlike(r"^\s*(#.*)?$"))
+
+
+def read_lines(spark: SparkSession, path: str, skip_unreadable: bool = False) -> DataFrame:
+    """N-Triples or N-Quads files as triples; comments and blank lines are left out. Any other line that is no statement ends
+    the run, unless ``skip_unreadable``: then ``unreadable`` gives those lines."""
     m = lambda k: F.regexp_extract("value", NT, k)
-    rows = spark.read.text(path).where(F.col("value").rlike(NT)).select(m(1).alias("a"), m(2).alias("p"), m(3).alias("c"), m(4).alias("g"))
+    lines = spark.read.text(path).where(~F.col("value").rlike(r"^\s*(#.*)?$"))
+    fits = F.col("value").rlike(NT)
+    if skip_unreadable:
+        lines = lines.where(fits)
+    else:
+        lines = lines.select(F.when(fits, F.col("value")).otherwise(F.raise_error(F.concat(F.lit("no statement: "), F.substring("value", 1, 200))).cast("string")).alias("value"))
+    rows = lines.select(m(1).alias("a"), m(2).alias("p"), m(3).alias("c"), m(4).alias("g"))
     kind = lambda c: F.when(F.col(c).startswith("<"), "iri").when(F.col(c).startswith("_:"), "bnode").otherwise("literal")
     bare = lambda c: F.when(F.col(c).startswith("<"), F.regexp_extract(c, "^<(.*)>$", 1)).otherwise(F.substring(c, 3, 1 << 30))
     text = F.regexp_extract("c", r'^"((?:[^"\\]|\\.)*)"', 1)
-    hold = "￿"
-    for a, b in (("\\\\", hold), ('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), (hold, "\\")):
-        text = F.replace(text, F.lit(a), F.lit(b))
+    text = unescaped(text)
     dt, lang = F.regexp_extract("c", r'"\^\^<([^>]*)>$', 1), F.regexp_extract("c", r'"@([A-Za-z0-9-]+)$', 1)
     lit = kind("c") == "literal"
     return rows.select(

@@ -1,13 +1,14 @@
 """Sources, documents, mappings, reasoning, model, quantities, sinks, modules and streams on small inputs."""
 
 import json
+import random
 import uuid
 
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import terms as T
-from graphloom.operators import matching, model, quantity, reason, sinks, topology
+from graphloom.operators import archive, compare, entities, matching, model, properties, quantity, reason, sinks, topology
 from graphloom.operators import triples as G
 from graphloom.plans import mapping, modules
 from graphloom.sources import records, step, turtle
@@ -228,6 +229,20 @@ def test_gate_and_matching(spark):
     assert (1, "A") in got and (2, "A") in got and not any(x == 3 for x, _ in got)
 
 
+def test_close_keys_are_those_of_the_plain_similarity():
+    r = random.Random(3)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    for start in ("", "Customer#00", "ab"):
+        for n in (1, 2, 5, 9):
+            keys = sorted({start + word(n, "abc01") for _ in range(60)})
+            known = matching.Keys(keys)
+            for key in [*keys[:5], *(start + word(r.randrange(1, 10), "abc01") for _ in range(10)), word(4, "abcC"), "C", "\U0001f600b"]:
+                for least in (0.5, 0.8, 0.94):
+                    rows, scores = known.close_to(key, least)
+                    want = {k: s for k in keys if (s := round(matching.jaro_winkler(key, k), 12)) >= least}
+                    assert {keys[i]: s for i, s in zip(rows.tolist(), scores.tolist())} == pytest.approx(want)
+
+
 def test_sinks_round_trip(spark, tmp_path):
     rows = [("http://a", "iri", "http://p", 'q"\n\\x', "literal", "", "en", "http://g"), ("b1", "bnode", "http://p", "5", "literal", T.XSD_INTEGER, "", ""), ("http://a", "iri", "http://p", "http://o", "iri", "", "", "")]
     t = spark.createDataFrame(rows, TRIPLE)
@@ -285,3 +300,185 @@ def test_stream(spark, sf, tmp_path):
     assert t.isStreaming
     out = stream.into_memory(stream.deduplicated(rows, "ts", "10000 days"), "deduplicated", str(tmp_path / "cp"))
     assert out.count() == events.count()
+
+
+def test_guids_and_names(spark):
+    names = ["", "a", "Wall|Qto", "Ümläut 漢字"]
+    got = spark.createDataFrame([(n,) for n in names], "n string").select("n", T.uuid5(quantity.SET_NAMESPACE, F.col("n")).alias("u")).withColumn("t", T.compressed_guid(F.col("u"))).withColumn("b", T.expanded_guid(F.col("t"))).collect()
+    for r in got:
+        assert r["u"] == str(uuid.uuid5(uuid.UUID(quantity.SET_NAMESPACE), r["n"])) == r["b"] and r["t"] == model.compress_guid(r["u"])
+    odd = spark.createDataFrame([("x",), ("0" * 22,), ("z" * 22,), (str(uuid.UUID(int=5)).upper(),)], "t string").select(T.expanded_guid(F.col("t")).alias("e"), T.canonical_guid(F.col("t")).alias("c")).collect()
+    assert [r["e"] for r in odd] == [None, str(uuid.UUID(int=0)), None, None] and [r["c"] for r in odd] == ["x", "0" * 22, "z" * 22, model.compress_guid(str(uuid.UUID(int=5)))]
+    rows = [("Fire Rating", "fireRating"), ("IS EXTERNAL", "IS%5FEXTERNAL"), ("9 lives", "lives"), ("9-A", "p_9%2DA"), ("", "value"), ("Höhe über NN", "hoeheUeberNN"), ("is-External 2", "isExternal"), ("日", "p_%5CX2%5C65E5%5CX0%5C")]
+    for r in spark.createDataFrame(rows, "n string, want string").select(T.local_name(F.col("n")).alias("got"), "want", "n").collect():
+        assert r["got"] == r["want"], r["n"]
+    keys = [("Čapek Şişli", "capeksisli"), ("ﬁre ½ ＡＢＣ", "fire12abc"), ("Größe", "groesse"), ("漢字", ""), ("ōā㎏", "oakg")]
+    assert all(r["k"] == r["want"] for r in spark.createDataFrame(keys, "n string, want string").select(T.norm_key(F.col("n")).alias("k"), "want").collect())
+    shown = spark.createDataFrame([("a\x01\x85\"\n",)], "t string").select(T.escape_controls(F.col("t"))).first()[0]
+    assert shown == 'a\\u0001\\u0085\\"\\n'
+
+
+def test_profiles_and_variants(spark):
+    base = matching.Profile("base", prop_aliases={"a": "x", "b": "y"}, set_prop_aliases={"s": {"p": "one"}}, least=0.9)
+    top = matching.Profile("top", prop_aliases={"b": "z"}, set_prop_aliases={"s": {"q": "two"}})
+    got = matching.inherited({"base": (base, None), "top": (top, "base")}, "top")
+    assert (got.name, got.prop_aliases, got.set_prop_aliases, got.least) == ("top", {"a": "x", "b": "z"}, {"s": {"p": "one", "q": "two"}}, 0.9)
+    for broken in ({"a": (base, "a")}, {"a": (base, "b")}):
+        with pytest.raises(ValueError):
+            matching.inherited(broken, "a")
+    rows = spark.createDataFrame([("bsdPset_X Fire Rating",), ("Group::Sub/Net Area",), (" ",), ("a|b",)], "n string")
+    got = [r["v"] for r in rows.select(matching.variants(F.col("n"), F.lit(None).cast("string"), segments=True).alias("v")).collect()]
+    assert got == [["bsdpsetxfirerating", "firerating", "rating"], ["groupsubnetarea", "subnetarea", "netarea", "area"], [], ["ab", "b"]]
+
+
+def test_ladder_on_odd_rows(spark):
+    index = spark.createDataFrame([("wall", "common", "firerating", "F"), ("wall", "common", "netarea", "N"), ("door", "other", "netarea", "M")], "cls string, pset string, prop string, code string")
+    rows = [(1, "IFC4", "Wall", "Common", "Fire Rating"), (1, "IFC4", "Wall", "Common", "Fire Rating"), (2, None, None, None, None), (3, "IFC4", "Wall", "x", "Fire Ratnig"), (4, "IFC4", "Window", "x", "NetArea"), (5, "IFC4", "Window", "x", "Fire Ratnig")]
+    asked = spark.createDataFrame(rows, "id int, schema string, cls string, pset string, prop string").withColumn("note", F.lit("kept"))
+    got = sorted((r["id"], r["status"], r["method"], r["code"], r["candidates"]) for r in matching.ladder(asked, index).collect())
+    assert got == [(1, "mapped", "exact_class_pset_prop", "F", [])] * 2 + [(2, "unmapped", "unmapped", None, []), (3, "normalized", "fuzzy", "F", []), (4, "ambiguous", "ambiguous_prop", None, ["M", "N"]), (5, "unmapped", "unmapped", None, [])]
+    assert matching.ladder(asked.limit(0), index).count() == 0 and {r["status"] for r in matching.ladder(asked, index.limit(0)).collect()} == {"unmapped"}
+    hard = matching.Profile(hard={"ifc4|wall|common|firerating": "H"})
+    assert {(r["code"], r["method"]) for r in matching.ladder(asked.where("id = 1"), index, hard).collect()} == {("H", "hard_override")}
+
+
+def test_json_paths(spark, tmp_path):
+    doc = {"a": {"list": [{"id": 1, "n": {"id": 9}}, {"id": 2, "n": {"id": 8}}], "one": {"id": 3}}, "odd key": [[1, 2], [3]]}
+    (tmp_path / "d.json").write_text(json.dumps(doc))
+    read = lambda p: sorted(tuple(r) for r in records.read_json(spark, str(tmp_path / "d.json"), p).collect())
+    assert [r[0] for r in read("$.a.list[*]")] == [1, 2] == [r[0] for r in read("$.a['list']")]
+    assert read("$.a.list[1].id") == [(2,)] and read("$.a.list[-1].id") == [(2,)] and read("$.a.one") == [(3,)]
+    assert read("$..id") == [(1,), (2,), (3,), (8,), (9,)] and read("$['odd key'][*][*]") == [(1,), (2,), (3,)]
+    assert read("$.a.list[?(@.id >= 2)].n.id") == [(8,)] and read("$.none.x") == []
+    for bad in ("a.b", "$.a[", "$.a[?(@.x ~ 1)]"):
+        with pytest.raises(ValueError):
+            records.path_steps(bad)
+    rows = spark.createDataFrame([(1, '{"x": [{"k": "a"}, {"k": "b"}]}'), (2, "no json"), (3, None)], "id int, t string")
+    assert sorted(tuple(r) for r in records.json_column(rows, "t", "struct<x:array<struct<k:string>>>", "$.x[*]").collect()) == [(1, "a"), (1, "b")]
+
+
+def test_xml_paths(spark, tmp_path):
+    (tmp_path / "d.xml").write_text('<c xmlns="http://n"><b k="1"><t>A</t><t>B</t><e/></b><x><b k="2">text<t>C</t></b></x></c>')
+    read = lambda p: records.read_xml(spark, str(tmp_path / "d.xml"), p).collect()
+    direct = read("/c/b")
+    assert len(direct) == 1 and direct[0]["@k"] == "1" and direct[0]["t"] == ["A", "B"] and direct[0]["e"] == "" and direct[0]["_name"] == "b"
+    assert {r["@k"] for r in read("/c//b")} == {"1", "2"} and [r["_text"] for r in read("/c/x/b[@k='2']")] == ["text"] and len(read("/*")) == 1
+
+
+def test_sources_of_documents(spark, tmp_path):
+    assert records.with_source("rml:source 'data.csv' ; 'input.csv'", "real.csv") == "rml:source 'real.csv' ; 'input.csv'" and records.with_source("source.xml", "my-source.xml") == "source.xml"
+    (tmp_path / "p.csv").write_text("a,b\n1,\n")
+    assert [tuple(r) for r in records.open_source(spark, {"source": str(tmp_path / "p.csv"), "formulation": "http://x/ql#CSV"}).collect()] == [("1", None)]
+    (tmp_path / "p.json").write_text('{"r": [{"a": 1}]}')
+    assert records.open_source(spark, {"source": str(tmp_path / "p.json"), "iterator": "$.r[*]"}).first()["a"] == 1
+    for bad in ({}, {"source": "http://x/y.csv"}, {"source": "x", "endpoint": "http://s"}):
+        with pytest.raises(ValueError):
+            records.open_source(spark, bad)
+
+
+def test_trig_and_alignment_documents():
+    doc = turtle.Turtle("@prefix e: <http://e/> . e:a e:b e:c . e:g { e:x e:y e:z , 1 . e:k e:l [ e:m 2 ] } GRAPH <http://h> { e:q a e:r . } { e:o e:o e:o }")
+    assert [(s[9:], g) for s, _, _, g in doc.quads if s.startswith("http")] == [("a", ""), ("x", "http://e/g"), ("x", "http://e/g"), ("k", "http://e/g"), ("q", "http://h"), ("o", "")]
+    head = "@prefix o: <http://www.w3.org/2002/07/owl#> . @prefix r: <http://www.w3.org/2000/01/rdf-schema#> . @prefix al: <http://knowledgeweb.semanticweb.org/heterogeneity/alignment#> . @prefix e: <http://e/> . "
+    own = turtle.Turtle(head + "e:p o:equivalentProperty e:q . e:c r:subPropertyOf e:d . e:K o:equivalentClass e:L . e:M o:equivalentClass [ o:unionOf ( e:K ) ] . [] al:entity1 e:u ; al:entity2 e:v .")
+    more = turtle.Turtle(head + "e:p o:equivalentProperty e:z . e:s r:subClassOf e:t . e:s2 r:subClassOf e:t .")
+    a = turtle.alignment(own, more)
+    short = lambda names: {k[9:]: v[9:] for k, v in names.items()}
+    assert short(a.properties) == {"p": "q", "q": "p", "c": "d", "d": "c", "u": "v", "z": "p"} and short(a.classes) == {"K": "L", "L": "K", "s": "t", "s2": "t"}
+    limited, warnings = turtle.rules(turtle.Turtle(head + "e:X o:equivalentClass [ o:onProperty e:p ; o:minQualifiedCardinality 1 ; o:onClass e:K ] ."))
+    assert not limited and len(warnings) == 1
+
+
+def test_unreadable_lines_are_no_silence(spark, tmp_path):
+    (tmp_path / "a.nt").write_text('<http://a> <http://p> "caf\\u00e9 \\\\u0041 \\U0001F600" .\n# note\n\n<http://a> broken\n')
+    with pytest.raises(Exception, match="no statement"):
+        turtle.read_lines(spark, str(tmp_path / "a.nt")).collect()
+    assert [r["o"] for r in turtle.read_lines(spark, str(tmp_path / "a.nt"), skip_unreadable=True).collect()] == ["café \\u0041 \U0001f600"]
+    assert [r["value"] for r in turtle.unreadable(spark, str(tmp_path / "a.nt")).collect()] == ["<http://a> broken"]
+
+
+def test_entities_with_nested_lists_and_loose_references(spark):
+    args = json.dumps([{"k": "list", "v": [{"k": "list", "v": [{"k": "int", "v": 1}]}, {"k": "list", "v": [{"k": "int", "v": 2}]}]}, {"k": "ref", "v": 99}, {"k": "string", "v": "x ] [ \" y"}, {"k": "null", "v": None}])
+    e = spark.createDataFrame([(7, "IFCA", args)], "id long, entity_name string, args string")
+    known = spark.createDataFrame([("IFCA", 0, "grid", "Row_List_List"), ("IFCA", 2, "text", "Label")], "entity_name string, pos int, predicate string, range string")
+    full = entities.emit(e, known, "http://b").collect()
+    kinds = [r["o"].rpartition("#")[2] for r in full if r["p"] == T.RDF_TYPE]
+    assert sorted(kinds) == ["IfcA", "Label", "Row", "Row", "Row_List", "Row_List", "Row_List_List", "Row_List_List"] and not any("99" in r["o"] for r in full)
+    assert [r["o"] for r in full if r["p"].endswith("hasString")] == ['x ] [ " y'] and sum(r["p"].endswith("hasNext") for r in full) == 1
+    plain = entities.emit(e, known, "http://b", "projected").collect()
+    assert sorted(r["o"] for r in plain if r["o_kind"] == "literal") == ["1", "2", 'x ] [ " y'] and sum(r["o"].endswith("#Seq") for r in plain) == 3
+
+
+def test_quantities_of_polygons_meshes_and_sets(spark, tmp_path):
+    topology.with_checkpoints(spark)
+    square = lambda a, n: [(a, a), (a + n, a), (a + n, a + n), (a, a + n)]
+    df = spark.createDataFrame([(square(0.0, 4.0), [square(1.0, 1.0), square(2.5, 1.0)])], "o array<struct<x:double,y:double>>, h array<array<struct<x:double,y:double>>>")
+    assert tuple(df.select(quantity.polygon_metrics(F.col("o"), F.col("h")).alias("p")).first()[0]) == (14.0, 16.0, 4.0, 4.0)
+    f = spark.createDataFrame([(1, k, k + 1, k + 2) for k in range(0, 40)] + [(1, 100, 101, 102), (2, 1, 2, 3)], "element_id int, a int, b int, c int")
+    assert {tuple(r) for r in quantity.parts(f).collect()} == {(1, 2, 45), (2, 1, 3)}
+    values = spark.createDataFrame([(1, "GrossVolume", 2.0), (1, "NetVolume", 3.0), (2, "NetVolume", 3.0), (3, "Width", -1.0)], "object long, name string, value double")
+    assert {(r["object"], r["name"]): r["verdict"] for r in quantity.checked(values).collect()} == {(1, "GrossVolume"): "accepted", (1, "NetVolume"): "net above gross", (2, "NetVolume"): "accepted", (3, "Width"): "not positive"}
+    objects = spark.createDataFrame([("w", "IfcWallStandardCase"), ("s", "IfcSlab")], "object string, cls string")
+    expected = spark.createDataFrame([("IfcWall", "Height"), ("IfcWall", "Length")], "cls string, name string")
+    assert {tuple(r) for r in quantity.audit_missing(objects, expected, spark.createDataFrame([("w", "HEIGHT")], "object string, name string")).collect()} == {("w", "Length")}
+
+
+def test_reports_on_skewed_groups(spark):
+    r = random.Random(1)
+    rows = [("big", r.choice([0.0, 0.5, r.random()])) for _ in range(500)] + [("one", 0.25), ("none", None), ("same", 0.1), ("same", 0.1)]
+    got = {x["k"]: x for x in quantity.report(spark.createDataFrame(rows, "k string, relative_error double"), "k").collect()}
+    for k in ("big", "one", "same"):
+        e = sorted(v for g, v in rows if g == k)
+        assert (got[k]["median"], got[k]["p95"]) == tuple(e[int((len(e) - 1) * p + 0.5)] for p in (0.5, 0.95))
+    assert got["none"]["median"] is None and got["none"]["computed"] == 0
+
+
+def test_graphs_in_a_form_two_runs_share(spark):
+    topology.with_checkpoints(spark)
+    OPM, P = model.OPM, "http://e.org/"
+
+    def run(state, time, n):
+        return [(P + "p", OPM + "hasPropertyState", state, "iri", ""), (state, "http://www.w3.org/ns/prov#generatedAtTime", time, "literal", ""), (state, "http://schema.org/value", n, "literal", T.XSD + "double")]
+
+    make = lambda rows: spark.createDataFrame([(s, "iri", p, o, k, dt, "", "") for s, p, o, k, dt in rows], TRIPLE)
+    a, b = make(run(P + "s1", "2001", "1.50")), make(run(P + "s9", "2002", "1.5"))
+    assert compare.compare(a, b).count() == 0 and compare.compare(a, make(run(P + "s9", "2002", "1.6"))).count() == 2
+    cells = lambda names: [row for k, n in enumerate(names) for row in [(n, T.RDF_TYPE, P + "X_List", "iri", ""), (n, "https://w3id.org/list#hasContents", f"v{k}", "literal", "")] + ([(n, "https://w3id.org/list#hasNext", names[k + 1], "iri", "")] if k + 1 < len(names) else [])]
+    assert compare.compare(make(cells(["a", "b", "c"])), make(cells(["x", "y", "z"])), scalars=True).count() == 0
+    assert compare.compare(make(cells(["a", "b", "c"])), make(cells(["x", "y"])), scalars=True).count() > 0
+    facts = spark.createDataFrame([("http://e.org/p", "q", "r")], "s string, p string, o string")
+    assert [r["found"] for r in compare.spot_check(a, facts, 5).collect()] == [False]
+
+
+def test_archive_tables(spark, tmp_path):
+    rows = [(1, "string", "a", ""), (2, "real", "1.5", "IFCM"), (3, "int", "4", ""), (4, "bool", "true", ""), (5, None, None, None), (6, "enum", "X", "")]
+    split = archive.typed_value(F.col("k"), F.col("v"), F.coalesce(F.col("m"), F.lit("")) != "")
+    got = {r["i"]: tuple(r)[1:] for r in spark.createDataFrame(rows, "i int, k string, v string, m string").select("i", *[c.alias(n) for n, c in split.items()]).collect()}
+    assert got == {1: ("string", "a", 0.0, 0), 2: ("measure", None, 1.5, 0), 3: ("integer", None, 4.0, 4), 4: ("boolean", "true", 1.0, 1), 5: ("null", None, 0.0, 0), 6: ("enum", "X", 0.0, 0)}
+    m = [0.0, 2.0, 0.0, 0.0, -2.0, 0.0, 0.0, 0.0, 0.0, 0.0, 2.0, 0.0, 10.0, 20.0, 30.0, 1.0]
+    df = spark.createDataFrame([((1.0, 0.0, 0.0), m)], "p struct<x:double,y:double,z:double>, m array<double>")
+    moved = df.select(archive.world(F.col("p"), F.col("m")).alias("w"), archive.turned(F.col("p"), F.col("m")).alias("t")).first()
+    assert tuple(moved["w"]) == (10.0, 22.0, 30.0) and tuple(moved["t"]) == (0.0, 1.0, 0.0)
+    v = spark.createDataFrame([(i, k, (float(i), float(k), 0.0), (0.0, 0.0, 1.0)) for i in (2, 1) for k in range(3)], "id int, pos int, point struct<x:double,y:double,z:double>, normal struct<x:double,y:double,z:double>")
+    tri = spark.createDataFrame([(2, 0, 0, 1, 2), (1, 0, 0, 1, 2)], "id int, pos int, a int, b int, c int")
+    archive.write(archive.mesh_tables(v, tri), str(tmp_path / "x"))
+    back = spark.read.parquet(str(tmp_path / "x" / "VertexBuffer.parquet")).coalesce(1)
+    assert [(r["X"], r["Y"]) for r in back.collect()] == [(1.0, 0.0), (1.0, 1.0), (1.0, 2.0), (2.0, 0.0), (2.0, 1.0), (2.0, 2.0)]
+
+
+def test_prefixes_quads_and_byte_chunks(spark):
+    t = graph(spark, ("x", "p", E + "y"))
+    assert {r[0] for r in G.used_prefixes(t, {"e": E, "q": "http://q/"}).collect()} == {"e"}
+    q = spark.createDataFrame([("http://a", "iri", "http://p", "x", "literal", "", "en", "http://g")], TRIPLE)
+    assert tuple(G.as_triples(q).first())[5:] == ("http://www.w3.org/1999/02/22-rdf-syntax-ns#langString", "", "")
+    lines = spark.createDataFrame([(chr(97 + k) * 4,) for k in range(10)], "value string")
+    assert sorted((r["value"][0], r["chunk"]) for r in G.chunk_of_bytes(lines, ["value"], 12).collect()) == [(chr(97 + k), 5 * k // 12) for k in range(10)]
+
+
+def test_sets_and_interfaces(spark):
+    values = spark.createDataFrame([(1, "Fire Rating", "string", "F", "", 0), (2, "fire-rating", "string", "F", "", 0), (3, "FireRating", "string", "G", "", 0)], "item int, name string, kind string, value string, measure string, n int")
+    members = spark.createDataFrame([(10, 0, 1), (10, 1, 2), (10, 2, 3), (10, 3, 99), (11, 0, 2)], "set int, pos int, item int")
+    assert sorted(tuple(r) for r in properties.deduplicated_sets(members, values).collect()) == [(10, 0, 1), (10, 2, 3), (10, 3, 99), (11, 0, 2)]
+    assert {r["set"]: r["content"] for r in properties.set_contents(members, values).collect()} == {10: "firerating=s:F|firerating=s:F|firerating=s:G", 11: "firerating=s:F"}
+    contacts = spark.createDataFrame([(1, 2, -0.5), (2, 1, 0.0), (3, 4, 0.0), (5, 6, 1.0)], "left long, right long, distance double")
+    assert {(r["left"], r["right"], r["kind"]) for r in topology.interface_ids(contacts).collect()} == {(1, 2, "IntersectingElement"), (3, 4, "AdjacentElement")}
