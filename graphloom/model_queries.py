@@ -426,7 +426,7 @@ def building(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     classes = F.when(F.col("c_custkey") % 3 == 0, "IFCRAILING").when(F.col("c_custkey") % 3 == 1, "IFCWALL").otherwise("IFCROOF")
     return {
         "nodes": nodes, "elements": t["customer"].select(thing("c_custkey").alias("id"), classes.alias("entity_name")),
-        "aggregates": n.select((F.col("n_regionkey") + 101).cast("long").alias("parent"), zone("n_nationkey").alias("child")).union(t["customer"].where("c_custkey % 3 = 2 AND c_custkey > 5").select(thing("c_custkey"), (F.col("c_custkey") - 3 + 1000))),
+        "aggregates": n.select((F.col("n_regionkey") + 101).cast("long").alias("parent"), zone("n_nationkey").alias("child")).union(t["customer"].where("c_custkey % 3 = 2 AND c_custkey > 5").select(thing("c_custkey"), F.expr("3 * ((c_custkey - 2) div 6) + 1002"))),
         "boundaries": o.select((F.col("o_orderkey") % 25 + 1).alias("space"), F.when(F.col("o_orderkey") % 7 != 0, thing("o_custkey")).alias("element"), (F.col("o_orderstatus") == "F").alias("external")),
         "contained": t["customer"].select(thing("c_custkey").alias("element"), zone("c_nationkey").alias("structure")),
         "voids": o.select(F.col("o_orderkey").alias("rel"), thing("o_custkey").alias("element"), (F.col("o_orderkey") % 500).alias("opening")), "fills": o.select((F.col("o_orderkey") % 700).alias("opening"), (F.col("o_custkey") + 1001).alias("element")),
@@ -434,8 +434,8 @@ def building(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 BUILDING_SQL = """
-    WITH nodes AS (SELECT n_nationkey + 1 AS id, 'space' AS level FROM nation UNION ALL SELECT r_regionkey + 101, 'storey' FROM region), el AS (SELECT c_custkey + 1000 AS id, c_custkey % 3 AS c FROM customer),
-    agg AS (SELECT n_regionkey + 101 AS parent, n_nationkey + 1 AS child FROM nation UNION ALL SELECT c_custkey + 1000, c_custkey + 997 FROM customer WHERE c_custkey % 3 = 2 AND c_custkey > 5),
+    WITH RECURSIVE nodes AS (SELECT n_nationkey + 1 AS id, 'space' AS level FROM nation UNION ALL SELECT r_regionkey + 101, 'storey' FROM region), el AS (SELECT c_custkey + 1000 AS id, c_custkey % 3 AS c FROM customer),
+    agg AS (SELECT n_regionkey + 101 AS parent, n_nationkey + 1 AS child FROM nation UNION ALL SELECT c_custkey + 1000, 3 * ((c_custkey - 2) // 6) + 1002 FROM customer WHERE c_custkey % 3 = 2 AND c_custkey > 5),
     bo AS (SELECT o_orderkey % 25 + 1 AS space, o_custkey + 1000 AS element, o_orderstatus = 'F' AS ext FROM orders WHERE o_orderkey % 7 <> 0 AND o_custkey + 1000 IN (SELECT id FROM el)),
     bg AS (SELECT space, element, bool_and(ext) AS ext FROM bo GROUP BY ALL),
     ho AS (SELECT o_orderkey % 500 AS opening, arg_max(o_custkey + 1000, o_orderkey) AS host FROM orders GROUP BY 1),
@@ -468,7 +468,7 @@ def topo_through_spaces(spark, sf_dir):
     return topology.through_spaces(b["nodes"], b["elements"], b["aggregates"], b["contained"], b["boundaries"])
 
 
-@query(BUILDING_SQL + ", z AS (SELECT c_nationkey + 1 AS structure, c_custkey + 1000 AS element FROM customer) SELECT DISTINCT z.structure, c.id AS element FROM z JOIN el c ON c.id = z.element OR (z.element - 1000) % 3 = 2 AND (c.id - 1000) % 3 = 2 AND c.id < z.element AND c.id >= 1005")
+@query(BUILDING_SQL + ", w(root, node) AS (SELECT id, id FROM el UNION SELECT root, child FROM w JOIN agg ON parent = node JOIN el r ON r.id = root AND r.c <> 1 WHERE parent > 999) SELECT DISTINCT (c_nationkey + 1)::BIGINT AS structure, node AS element FROM customer JOIN w ON root = c_custkey + 1000")
 def topo_contained_closure(spark, sf_dir):
     topology.with_checkpoints(spark)
     b = building(spark, sf_dir)
@@ -549,7 +549,7 @@ def parquet_tables(spark, sf_dir):
     return archive.properties_table(*authored(spark, sf_dir))
 
 
-@query("SELECT c_custkey + 1000 AS \"SourceId\", c_nationkey::BIGINT AS \"TargetId\", 'ContainedIn' AS \"RelType\", 0 AS \"RelId\" FROM customer UNION ALL SELECT n_nationkey, n_regionkey, 'Aggregates', 0 FROM nation")
+@query("SELECT c_custkey + 1000 AS \"SourceId\", c_nationkey::BIGINT AS \"TargetId\", 'ContainedIn' AS \"RelType\", 0::BIGINT AS \"RelId\" FROM customer UNION ALL SELECT n_nationkey, n_regionkey, 'Aggregates', 0 FROM nation")
 def parquet_relationships(spark, sf_dir):
     t = Tables(spark, sf_dir)
     return archive.relationships_table({"ContainedIn": t["customer"].select(F.col("c_custkey") + 1000, "c_nationkey"), "Aggregates": t["nation"].select("n_nationkey", "n_regionkey")})

@@ -575,7 +575,7 @@ def chunk_manifest_lines(spark, sf_dir):
     return rows.groupBy("chunk").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"))
 
 
-@query("SELECT c AS chunk, count(*) AS lines, sum(b)::BIGINT AS bytes FROM (SELECT b, (sum(b) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) - b) // 100000 AS c FROM (SELECT value, strlen(value) + 1 AS b FROM (" + LINES_SQL + "))) GROUP BY 1")
+@query("SELECT c::BIGINT AS chunk, count(*) AS lines, sum(b)::BIGINT AS bytes FROM (SELECT b, (sum(b) OVER (ORDER BY value ROWS UNBOUNDED PRECEDING) - b) // 100000 AS c FROM (SELECT value, strlen(value) + 1 AS b FROM (" + LINES_SQL + "))) GROUP BY 1")
 def chunk_manifest_bytes(spark, sf_dir):
     rows = G.chunk_of_bytes(ntriples_lines(spark, sf_dir), [F.col("value")], 100_000)
     return rows.groupBy("chunk").agg(F.count("*").alias("lines"), F.sum(F.octet_length("value").cast("long") + 1).alias("bytes"))
