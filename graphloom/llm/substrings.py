@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from graphloom.llm.common import materialize, shuffle_partitions, table
-from graphloom.llm.exchange import mix, split_sorted, windows, word_hashes
+from graphloom.llm.exchange import mix, release, split_sorted, windows, word_hashes
 
 LOW = np.uint64(1)
 #: The least length that is looked at first is more than half of this, or the window's own.
@@ -104,7 +104,7 @@ def _packed(got: list[tuple[np.ndarray, int]], buckets: int) -> pa.RecordBatch:
     return _batch({"bucket": [b for b, _, _ in cut], "part": [0] * len(cut), "hashes": [h[i:j].tobytes() for _, i, j in cut], "docs": [p[i:j].tobytes() for _, i, j in cut]}, SENT_ARROW)
 
 
-def _send_first(window: int, length: int, buckets: int, most: int = 4_000_000):
+def _send_first(window: int, length: int, buckets: int, most: int = 1_000_000):
     """The first level: the anchors of every window of a task's documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,8 +118,11 @@ def _send_first(window: int, length: int, buckets: int, most: int = 4_000_000):
                 if held >= most:
                     yield _packed(got, buckets)
                     got, held = [], 0
+                    release()
         if got:
             yield _packed(got, buckets)
+        got.clear()
+        release()
 
     return run
 
@@ -216,6 +219,11 @@ def _remove(window: int):
     """For one part: documents without the words that a window owned by a smaller document covers."""
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        out = cleaned(docs, answers)
+        release()
+        return out
+
+    def cleaned(docs: pa.Table, answers: pa.Table) -> pa.Table:
         h = np.frombuffer(b"".join(answers.column("hashes").to_pylist()), dtype=np.uint64)
         owner = np.frombuffer(b"".join(answers.column("docs").to_pylist()), dtype=np.int64)
         order = np.argsort(h)

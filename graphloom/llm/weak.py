@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import WORD, table
+from graphloom.llm.exchange import release
 from graphloom.llm.sampling import by_hash
 
 SAMPLE, WIDTH = 4000, 2048
@@ -204,6 +205,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
         shapes = Shapes()
         for part in parts:
             yield pd.Series([votes(shape_counts(x, shapes)) for x in part], dtype=object)
+        shapes.clear()
+        release()
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     filled = F.col("text").rlike(WORD)
@@ -228,6 +231,8 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
                 scores = model.score(np.stack([hashed(c) for c in counts])).tolist() if model else [1.0] * len(counts)
                 out += [s if c[ANY] else 0.0 for s, c in zip(scores, counts)]
             yield pd.Series(out, dtype=float)
+        shapes.clear()
+        release()
 
     return docs.withColumn("quality", quality(F.col(text_col).cast("string"))).withColumn("kept", F.col("quality") >= threshold)
 
