@@ -240,6 +240,23 @@ def box_geometry(spark, sf_dir):
     return properties.box_triples(objects, boxes, part.where("p_partkey % 10 = 0").select(k.alias("object"), F.lit("POINT Z (1 2 3)").alias("wkt")), BASE)
 
 
+@query(f"""
+    WITH d AS (SELECT unnest(['SMALL', 'SMALL-Brand#1', 'SMALL-Brand#2', 'LARGE', 'ECONOMY-Brand#3']) AS name), e AS (SELECT 'part/' || p_partkey AS s, p_type, CASE WHEN p_partkey % 3 = 0 THEN 'NOTDEFINED' ELSE p_brand END AS t FROM part WHERE p_type IN (SELECT name FROM d))
+    SELECT s, 'iri' AS s_kind, '{TYPE}' AS p, '{B}' || name AS o, {IRI_SQL} FROM (SELECT s, p_type AS name FROM e UNION ALL SELECT s, p_type || '-' || t FROM e) JOIN d USING (name)""")
+def product_types(spark, sf_dir):
+    k = F.col("p_partkey")
+    rows = table(spark, sf_dir, "part").select(F.concat(F.lit("part/"), k).alias("subject"), F.col("p_type").alias("product"), F.when(k % 3 == 0, "NOTDEFINED").otherwise(F.col("p_brand")).alias("predefined"))
+    return properties.product_types(rows, spark.createDataFrame([(n,) for n in ("SMALL", "SMALL-Brand#1", "SMALL-Brand#2", "LARGE", "ECONOMY-Brand#3")], "name string"), B)
+
+
+@query(f"""
+    WITH t AS (SELECT 'supplier/' || s_suppkey AS s, 'http://example.org/id/geometry_g' || s_suppkey AS g FROM supplier)
+    SELECT s, 'iri' AS s_kind, '{properties.OMG}hasGeometry' AS p, g AS o, {IRI_SQL} FROM t UNION ALL SELECT g, 'iri', '{TYPE}', '{properties.OMG}Geometry', {IRI_SQL} FROM t""")
+def geometry_links(spark, sf_dir):
+    k = F.col("s_suppkey")
+    return properties.geometry_links(table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier/"), k).alias("subject"), F.concat(F.lit("g"), k).alias("guid")), BASE)
+
+
 # --- entities
 
 def step_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

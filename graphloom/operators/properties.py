@@ -192,3 +192,22 @@ def box_triples(objects: DataFrame, boxes: DataFrame, wkts: DataFrame, base: str
     rows = rows.withColumn("_g", node_iri(base, F.lit("geometry"), F.col("guid")))
     own = expand(rows, F.col("subject"), [(has_box, iri(F.col("_g")))])
     return own.union(expand(rows, F.col("_g"), [(RDF_TYPE, iri(GEO + "Geometry")), (GEO + "asWKT", literal(F.col("text"), GEO + "wktLiteral"))])).select(*COLUMNS)
+
+
+OMG = "https://w3id.org/omg#"
+
+
+def geometry_links(things: DataFrame, base: str) -> DataFrame:
+    """Each thing (subject, guid) has a geometry node of its own."""
+    node = node_iri(base, F.lit("geometry"), F.col("guid"))
+    return exploded(things, about(F.col("subject"), [(OMG + "hasGeometry", iri(node))]) + about(node, [(RDF_TYPE, iri(OMG + "Geometry"))]))
+
+
+def product_types(elements: DataFrame, declared: DataFrame, namespace: str) -> DataFrame:
+    """Types of elements (subject, product, predefined) in a vocabulary that declares only some classes (name): the product's
+    class, and with a predefined type ``Product-TYPE`` too; classes that are not declared, and types of products that are
+    not, make none. NOTDEFINED and USERDEFINED are no types."""
+    known = elements.where("product IS NOT NULL").join(declared.select(F.col("name").alias("product")).distinct(), "product", "left_semi")
+    typed = F.when(~F.col("predefined").isin("NOTDEFINED", "USERDEFINED"), F.concat_ws("-", "product", "predefined"))
+    names = known.select("subject", F.explode(F.filter(F.array("product", typed), lambda x: x.isNotNull())).alias("name"))
+    return expand(names.join(declared.select("name").distinct(), "name", "left_semi"), F.col("subject"), [(RDF_TYPE, iri(F.concat(F.lit(namespace), F.col("name"))))])
