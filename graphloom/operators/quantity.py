@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -121,12 +125,74 @@ def without_inner_faces(triangles: DataFrame) -> DataFrame:
     return rows.join(twice, ["element_id", "_face"], "left_anti").select(*triangles.columns)
 
 
-def parts(faces: DataFrame) -> DataFrame:
+#: Faces of an element that are labelled in one piece, in one task; elements of more go through rounds of joins.
+PIECE = 1 << 18
+
+
+def _labelled(faces: pa.Table) -> pa.Table:
+    """Parts and vertices of whole elements, whose faces lie one after another."""
+    ids = faces.column("element_id").combine_chunks()
+    first = np.concatenate([[True], pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)])
+    of, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+    corners = [(pc.fill_null(c, 0).to_numpy(), c.is_valid().to_numpy()) for c in (faces.column(x) for x in "abc")]
+    ends = []
+    for (x, x_is), (y, y_is) in ((corners[0], corners[1]), (corners[1], corners[2]), (corners[0], corners[2])):
+        both = x_is & y_is
+        ends.append((of[both], x[both], y[both]))
+    of, x, y = (np.concatenate(z) for z in zip(*ends))
+    points, at = np.unique(np.concatenate([x, y]), return_inverse=True)
+    nodes, at = np.unique(np.concatenate([of, of]) * len(points) + at, return_inverse=True)
+    x, y = at[: len(x)], at[len(x) :]
+    label = np.arange(len(nodes))
+    while len(x):  # roots hang under the least root next to them, until no edge joins two
+        x, y = label[x], label[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
+        while (label != label[label]).any():
+            label = label[label]
+    of = nodes // max(len(points), 1)
+    vertices = np.bincount(of, minlength=len(starts))
+    parts = np.bincount(of[label == np.arange(len(nodes))], minlength=len(starts))
+    out = pa.table({"element_id": ids.take(pa.array(starts)), "parts": pa.array(parts, pa.int64()), "vertices": pa.array(vertices, pa.int64())})
+    return out.filter(pa.array(vertices > 0))
+
+
+def _in_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``_labelled`` over faces in the order of their elements; the last element of a batch may go on in the next."""
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([batch])
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        ids = rows.column("element_id").combine_chunks()
+        last = int(pc.index(pc.equal(ids, ids[-1]), True).as_py())
+        if last:
+            yield from _labelled(rows.slice(0, last)).to_batches()
+        held = rows.slice(last)
+    if held is not None:
+        yield from _labelled(held).to_batches()
+
+
+def parts(faces: DataFrame, piece: int = PIECE) -> DataFrame:
     """(element_id, parts, vertices): connected parts of each element's mesh. faces: element_id, a, b, c (vertex ids).
 
-    Labels spread over edges, each vertex taking the least of its neighbours' and its label's label, until none changes;
+    The faces go to their element's place once, in its order, and are labelled there; those of elements with more than
+    ``piece`` faces, if there are any, by rounds of joins instead."""
+    faces = faces.where("element_id IS NOT NULL").select("element_id", *[F.col(x).cast("long").alias(x) for x in "abc"])
+    large = faces.groupBy("element_id").agg(F.count("*").alias("n")).where(F.col("n") > piece).select("element_id").checkpoint()
+    some = not large.isEmpty()
+    small = faces.join(large, "element_id", "left_anti") if some else faces
+    kind = faces.schema["element_id"].dataType.simpleString()
+    out = small.repartition("element_id").sortWithinPartitions("element_id").mapInArrow(_in_pieces, f"element_id {kind}, parts long, vertices long")
+    return out.unionByName(_parts_in_rounds(faces.join(large, "element_id", "left_semi"))) if some else out
+
+
+def _parts_in_rounds(faces: DataFrame) -> DataFrame:
+    """Labels spread over edges, each vertex taking the least of its neighbours' and its label's label, until none changes;
     rounds are checkpointed and grow with the logarithm of the longest way."""
-    points = [F.col(x).cast("long") for x in "abc"]
+    points = [F.col(x) for x in "abc"]
     pairs = F.array(*[F.struct(points[i].alias("x"), points[j].alias("y")) for i, j in ((0, 1), (1, 0), (1, 2), (2, 1), (0, 2), (2, 0))])
     edges = faces.select("element_id", F.explode(pairs).alias("e")).select("element_id", "e.x", "e.y").distinct().checkpoint()
     label = edges.groupBy("element_id", "x").agg(F.min("y").alias("m")).select("element_id", "x", F.least("x", "m").alias("l")).checkpoint()

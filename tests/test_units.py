@@ -409,6 +409,31 @@ def test_entities_with_nested_lists_and_loose_references(spark):
     assert sorted(r["o"] for r in plain if r["o_kind"] == "literal") == ["1", "2", 'x ] [ " y'] and sum(r["o"].endswith("#Seq") for r in plain) == 3
 
 
+def test_mesh_parts_of_small_elements_are_not_spread_over_rounds(spark):
+    """Each row goes to its element once: no table of edges is checkpointed; large elements, and odd ids, give the same."""
+    topology.with_checkpoints(spark)
+    random.seed(4)
+    rows = [(f"e{random.randrange(300)}", *(random.choice([*range(40), None]) for _ in "abc")) for _ in range(3000)] + [("big", k, k + 1, k + 1) for k in range(500)] + [(None, 1, 2, 3), ("none", None, None, 7)]
+    f = spark.createDataFrame(rows, "element_id string, a int, b int, c int")
+    want = {}
+    for e in {r[0] for r in rows if r[0]}:
+        label = {}
+        for _, a, b, c in (r for r in rows if r[0] == e):
+            for x, y in ((a, b), (b, c), (a, c)):
+                if x is not None and y is not None:
+                    p, q = label.setdefault(x, x), label.setdefault(y, y)
+                    p, q = label[x], label[y]
+                    label = {k: p if v == q else v for k, v in label.items()}
+        if label:
+            want[e] = (len(set(label.values())), len(label))
+    store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(spark.sparkContext.getCheckpointDir())
+    size = lambda: store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(store).getLength()
+    before = size()
+    assert {r[0]: tuple(r[1:]) for r in quantity.parts(f).collect()} == want
+    assert size() - before < 20_000
+    assert {r[0]: tuple(r[1:]) for r in quantity.parts(f, piece=100).collect()} == want
+
+
 def test_quantities_of_polygons_meshes_and_sets(spark, tmp_path):
     topology.with_checkpoints(spark)
     square = lambda a, n: [(a, a), (a + n, a), (a + n, a + n), (a, a + n)]
