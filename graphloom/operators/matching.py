@@ -173,11 +173,15 @@ def close_keys(keys: DataFrame, index: DataFrame, least: float = 0.94, ties: flo
 def fuzzy(queries: DataFrame, index: DataFrame, least: float = 0.94, ties: float = 0.02, most_length: int = 3) -> DataFrame:
     """id, code, score of each query's best candidates (see ``close_keys``). ``queries``: id, cls, key; ``index``: cls, key,
     code. Distinct keys are compared once, whatever the number of queries that share one. A code that several keys of the
-    index lead to counts with its best score."""
+    index lead to counts with its best score. Rows can only repeat for an id that comes with several keys; without one, they
+    are not compared with each other, and go out of the last join as they are."""
+    queries = queries.select("id", "cls", "key").distinct()
     close = close_keys(queries, index, least, ties, most_length)
     coded = close.join(index.select("cls", F.col("key").alias("other"), "code").distinct(), ["cls", "other"])
     best = coded.groupBy("cls", "key", "code").agg(F.max("score").alias("score"))
-    return queries.join(best, ["cls", "key"]).select("id", "code", "score").distinct()
+    found = queries.join(best, ["cls", "key"]).select("id", "code", "score")
+    several = queries.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    return found if several.isEmpty() else found.distinct()
 
 
 @dataclass(frozen=True)

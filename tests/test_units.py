@@ -409,6 +409,16 @@ def test_entities_with_nested_lists_and_loose_references(spark):
     assert sorted(r["o"] for r in plain if r["o_kind"] == "literal") == ["1", "2", 'x ] [ " y'] and sum(r["o"].endswith("#Seq") for r in plain) == 3
 
 
+def test_fuzzy_rows_are_compared_only_where_an_id_has_several_keys(spark):
+    i = spark.createDataFrame([("c", "abcdefgh", "1"), ("c", "abcdefgh", "2"), ("d", "abcdefgh", "1")], "cls string, key string, code string")
+    once = spark.createDataFrame([(1, "c", "abcdefgh"), (1, "c", "abcdefgh"), (2, "c", "abcdefgx")], "id int, cls string, key string")
+    got = matching.fuzzy(once, i)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert sorted(tuple(r)[:2] for r in got.collect()) == [(1, "1"), (1, "2"), (2, "1"), (2, "2")]
+    twice = once.union(spark.createDataFrame([(1, "d", "abcdefgh"), (2, None, "abcdefgh"), (3, "c", "")], once.schema))
+    assert sorted(tuple(r)[:2] for r in matching.fuzzy(twice, i).collect()) == [(1, "1"), (1, "2"), (2, "1"), (2, "2")]
+
+
 def test_mesh_parts_of_small_elements_are_not_spread_over_rounds(spark):
     """Each row goes to its element once: no table of edges is checkpointed; large elements, and odd ids, give the same."""
     topology.with_checkpoints(spark)
