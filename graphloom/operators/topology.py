@@ -43,15 +43,20 @@ def closure(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -
 
 
 def closure_sql(spark, edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """The same over edges without cycles, by a recursive query."""
-    return spark.sql(
-        """WITH RECURSIVE walk(root, node, depth) AS (
-            SELECT root, root, 0 FROM {roots} UNION ALL
-            SELECT w.root, e.child, w.depth + 1 FROM walk w JOIN {edges} e ON e.parent = w.node)
-        SELECT root, node, depth FROM walk WHERE depth > 0""",
-        edges=edges,
-        roots=roots,
-    )
+    """The rows of a recursive query over edges without cycles: one for each way from a root to a node. Levels are joined
+    and checkpointed until one is empty, as the recursive query of Spark ends with an error at a million rows or a hundred
+    levels. Cycles are an error: a root that comes back to itself, or a way of more steps than there are parents."""
+    with_checkpoints(spark)
+    edges = edges.select("parent", "child").checkpoint()
+    front = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth"))
+    most, out = edges.select("parent").distinct().count(), None
+    for depth in count(1):
+        front = front.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), F.lit(depth).alias("depth")).checkpoint()
+        if out is not None and front.isEmpty():
+            return out
+        if depth > most and not front.isEmpty() or not front.where("root = node").isEmpty():
+            raise RuntimeError("closure_sql needs edges without cycles")
+        out = front if out is None else out.unionByName(front)
 
 
 AXES = ("x", "y", "z")

@@ -389,7 +389,7 @@ def bot_closure(spark, sf_dir):
 
 @query(PART_OF)
 def bot_closure_all_parts(spark, sf_dir):
-    """The same by a recursive query."""
+    """The same by a loop that gives a row for each way, as the recursive query does."""
     return topology.closure_sql(spark, *part_of(spark, sf_dir))
 
 

@@ -419,6 +419,20 @@ def test_fuzzy_rows_are_compared_only_where_an_id_has_several_keys(spark):
     assert sorted(tuple(r)[:2] for r in matching.fuzzy(twice, i).collect()) == [(1, "1"), (1, "2"), (2, "1"), (2, "2")]
 
 
+def test_closure_by_ways_has_no_most_rows_or_levels(spark):
+    """More than a million rows, more than a hundred levels; ways that meet come once each; a cycle is an error."""
+    topology.with_checkpoints(spark)
+    wide = spark.range(1_100_000).select(F.lit(0).alias("parent"), (F.col("id") + 1).alias("child"))
+    roots = spark.createDataFrame([(0,)], "root int")
+    assert topology.closure_sql(spark, wide, roots).count() == 1_100_000
+    chain = spark.createDataFrame([(k, k + 1) for k in range(105)] + [(0, 2)], "parent int, child int")
+    got = sorted((r["node"], r["depth"]) for r in topology.closure_sql(spark, chain, roots).collect())
+    assert got == sorted([(k, k) for k in range(1, 106)] + [(k, k - 1) for k in range(2, 106)])
+    for edges in ([(0, 1), (1, 0)], [(0, 1), (1, 2), (2, 1)]):
+        with pytest.raises(RuntimeError):
+            topology.closure_sql(spark, spark.createDataFrame(edges, "parent int, child int"), roots)
+
+
 def test_mesh_parts_of_small_elements_are_not_spread_over_rounds(spark):
     """Each row goes to its element once: no table of edges is checkpointed; large elements, and odd ids, give the same."""
     topology.with_checkpoints(spark)
