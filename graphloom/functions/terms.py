@@ -72,21 +72,20 @@ def canonical_decimal(c: Column, places: int = 9) -> Column:
 
 def fnv1a64(c: Column) -> Column:
     """FNV-1a, 64 bits, as 16 hex digits. The product by the prime 2**40 + 0x1b3 is a shift and a small product, kept in two
-    32-bit halves, as ANSI arithmetic refuses to wrap."""
-    hex_text = F.hex(F.encode(c, "UTF-8"))
+    32-bit halves, as ANSI arithmetic refuses to wrap. The steps read an array that is made once: what ``c`` stands for would
+    be evaluated again in each of them."""
+    octets = F.coalesce(F.regexp_extract_all(F.hex(F.encode(c, "UTF-8")), F.lit("[0-9A-F]{2}"), F.lit(0)), F.array().cast("array<string>"))
     low32 = 0xFFFFFFFF
 
-    def step(acc: Column, k: Column) -> Column:
-        byte = F.conv(F.substring(hex_text, k * 2 + 1, F.lit(2)), 16, 10).cast("bigint")
-        low, high = acc["low"].bitwiseXOR(byte), acc["high"]
+    def step(acc: Column, octet: Column) -> Column:
+        low, high = acc["low"].bitwiseXOR(F.conv(octet, 16, 10).cast("bigint")), acc["high"]
         product = low * 0x1B3
         up = F.shiftright(product, 32)
         new_high = (high * 0x1B3 + up + low.bitwiseAND(0xFFFFFF) * 256).bitwiseAND(low32)
         return F.struct(product.bitwiseAND(low32).alias("low"), new_high.alias("high"))
 
     start = F.struct(F.lit(0x84222325).cast("bigint").alias("low"), F.lit(0xCBF29CE4).cast("bigint").alias("high"))
-    steps = F.when(F.octet_length(c) > 0, F.sequence(F.lit(0), F.octet_length(c) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda acc: F.lower(F.concat(F.lpad(F.hex(acc["high"]), 8, "0"), F.lpad(F.hex(acc["low"]), 8, "0"))))
+    return F.aggregate(octets, start, step, lambda acc: F.lower(F.concat(F.lpad(F.hex(acc["high"]), 8, "0"), F.lpad(F.hex(acc["low"]), 8, "0"))))
 
 
 def escape_literal(c: Column) -> Column:

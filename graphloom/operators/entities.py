@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions.terms import RDF_TYPE, XSD, XSD_BOOLEAN, XSD_INTEGER, fnv1a64, pascal_name, value_to_string
+from graphloom.operators.topology import with_checkpoints
 from graphloom.operators.triples import COLUMNS, OBJECT, iri, literal
 
 RDF = "http://www.w3.org/1999/02/22-rdf-syntax-ns#"
@@ -60,13 +61,13 @@ def _with_objects(rows: DataFrame, base: str, mode: str, subjects: DataFrame) ->
     """``rows`` (k, t, v, range) with o: an object, null if there is none, and with node, cls for a scalar's own node."""
     own = subjects.select(F.col("id").alias("_ref"), F.col("iri").alias("_iri"))
     rows = rows.withColumn("_ref", F.when(F.col("k") == "ref", F.col("v").try_cast("bigint"))).join(own, "_ref", "left")
-    cls = F.coalesce(pascal_name(F.col("t")), F.col("range"))
-    text = _scalar(F.col("k"), F.col("v"))
+    cls, text = F.coalesce(pascal_name(F.col("t")), F.col("range")), _scalar(F.col("k"), F.col("v"))
     if mode == "projected":
         rows = rows.withColumns({"cls": F.lit(None).cast("string"), "node": F.lit(None).cast("string")})
         return rows.withColumn("o", F.when(F.col("_iri").isNotNull(), iri(F.col("_iri"))).otherwise(text))
-    node = F.concat(F.lit(base.rstrip("/") + "/"), cls, F.lit("_"), fnv1a64(F.concat_ws("|", cls, text["o_dt"], text["o"])))
-    rows = rows.withColumns({"cls": F.when(text.isNotNull(), cls), "node": F.when(text.isNotNull() & cls.isNotNull(), node)})
+    rows = rows.withColumns({"_text": text, "cls": F.when(text.isNotNull(), cls)})
+    node = F.concat(F.lit(base.rstrip("/") + "/"), F.col("cls"), F.lit("_"), fnv1a64(F.concat_ws("|", "cls", "_text.o_dt", "_text.o")))
+    rows = rows.withColumn("node", F.when(F.col("cls").isNotNull(), node))
     return rows.withColumn("o", F.when(F.col("_iri").isNotNull(), iri(F.col("_iri"))).when(F.col("node").isNotNull(), iri(F.col("node"))))
 
 
@@ -96,9 +97,12 @@ def emit(entities: DataFrame, known: DataFrame, base: str, mode: str = "full", n
         out = out.union(nodes)
         scalars = scalars.union(scalar_items)
     done = _with_objects(scalars.withColumns(_plain(F.col("k"), F.col("t"), F.col("v"))), base, mode, subjects)
+    if mode == "full":  # three kinds of triples read them, and hashes are dear
+        with_checkpoints(entities.sparkSession)
+        done = done.select("s", "p", "k", "cls", "node", "o", F.col("_text").alias("ov")).checkpoint()
     out = out.union(_triples(done, F.col("s"), F.col("p")))
     if mode == "full":
-        own = done.where("node IS NOT NULL").withColumns({"ot": iri(F.concat(F.lit(names.own), F.col("cls"))), "ov": _scalar(F.col("k"), F.col("v"))})
+        own = done.where("node IS NOT NULL").withColumns({"ot": iri(F.concat(F.lit(names.own), F.col("cls")))})
         holds = F.lit("")
         for kind, local in HOLDS.items():
             holds = F.when(F.col("k") == kind, names.express + local).otherwise(holds)

@@ -433,6 +433,13 @@ def test_closure_by_ways_has_no_most_rows_or_levels(spark):
             topology.closure_sql(spark, spark.createDataFrame(edges, "parent int, child int"), roots)
 
 
+def test_fnv1a64_evaluates_its_text_once(spark):
+    """Not in every step over its bytes: with texts made from JSON that was most of the time of full entities."""
+    df = spark.createDataFrame([("foobar",), (None,), ("",)], "t string").select(T.fnv1a64(F.reverse("t")).alias("h"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("reverse(") == 1
+    assert [r["h"] for r in df.collect()][1:] == ["cbf29ce484222325"] * 2
+
+
 def test_mesh_parts_of_small_elements_are_not_spread_over_rounds(spark):
     """Each row goes to its element once: no table of edges is checkpointed; large elements, and odd ids, give the same."""
     topology.with_checkpoints(spark)
