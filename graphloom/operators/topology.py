@@ -78,11 +78,17 @@ def spatial_pairs(boxes: DataFrame, cell: tuple[float, float, float] | None = No
     of its common part, so no pair comes twice and nothing is deduplicated. A box goes whole to the cell of its own lower
     corner, and to other cells it reaches; in a cell, pairs of two boxes that both came from elsewhere are never the ones
     to judge there unless their corners say so, which the join tests before anything else. A cell should be about twice a
-    box in size (the default takes twice the mean extents: one aggregation), so that a box reaches eight at most."""
+    box in size (the default takes twice the mean extents: one aggregation), so that a box reaches eight at most.
+
+    Boxes of equal corners are judged as one shape, each pair of shapes once; then members meet by their shapes alone, so
+    copies cost what they add to the result."""
     if cell is None:
         means = boxes.agg(*[F.avg(F.col(f"{x}_max") - F.col(f"{x}_min")).alias(x) for x in AXES]).first()
         cell = tuple(max(2 * (means[x] or 0.0), 1e-3) for x in AXES)
-    own = boxes.withColumns({f"l{x}": F.floor((F.col(f"{x}_min") - tol) / c) for x, c in zip(AXES, cell)})
+    corners = [f"{x}_{end}" for x in AXES for end in ("min", "max")]
+    members = boxes.select("id", F.struct(*corners).alias("shape"))
+    shapes = boxes.select(*corners).distinct().withColumn("shape", F.struct(*corners))
+    own = shapes.withColumns({f"l{x}": F.floor((F.col(f"{x}_min") - tol) / c) for x, c in zip(AXES, cell)})
     dealt = own
     for x, c in zip(AXES, cell):
         dealt = dealt.withColumn(f"c{x}", F.explode(F.sequence(F.col(f"l{x}"), F.floor((F.col(f"{x}_max") + tol) / c))))
@@ -90,12 +96,16 @@ def spatial_pairs(boxes: DataFrame, cell: tuple[float, float, float] | None = No
     same = [F.col(f"a.c{x}") == F.col(f"b.c{x}") for x in AXES]
     # the greater of the two lower corners' cells
     home = [F.col(f"a.c{x}") == F.greatest(F.col(f"a.l{x}"), F.col(f"b.l{x}")) for x in AXES]
-    pairs = a.join(b, reduce(lambda p, q: p & q, [*same, F.col("a.id") < F.col("b.id"), *home]))
+    pairs = a.join(b, reduce(lambda p, q: p & q, [*same, F.col("a.shape") <= F.col("b.shape"), *home]))
     over = [_overlap(x, tol) for x in AXES]
     meets = [F.abs(_gap(x)) <= tol for x in AXES]
     touch = (meets[0] & over[1] & over[2]) | (over[0] & meets[1] & over[2]) | (over[0] & over[1] & meets[2])
     kind = F.when(over[0] & over[1] & over[2], "intersects").when(touch, "touches")
-    return pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), kind.alias("kind")).where("kind is not null")
+    judged = pairs.select(F.col("a.shape").alias("left"), F.col("b.shape").alias("right"), kind.alias("kind")).where("kind is not null")
+    judged = judged.join(members.select(F.col("id").alias("i"), F.col("shape").alias("left")), "left").withColumn("same", F.col("left") == F.col("right"))
+    met = judged.select("i", "right", "same", "kind").join(members.select(F.col("id").alias("j"), F.col("shape").alias("right")), "right")
+    met = met.where((F.col("i") < F.col("j")) | (~F.col("same") & (F.col("i") > F.col("j"))))
+    return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "kind")
 
 
 def canonical_pairs(pairs: DataFrame) -> DataFrame:

@@ -440,6 +440,22 @@ def test_fnv1a64_evaluates_its_text_once(spark):
     assert [r["h"] for r in df.collect()][1:] == ["cbf29ce484222325"] * 2
 
 
+def test_spatial_pairs_judge_equal_boxes_once(spark):
+    """Copies take part as one shape in the grid, and all of their pairs come out, once each."""
+    r = random.Random(5)
+    some = [(float(r.randrange(4)), float(r.randrange(4)), float(r.randrange(3))) for _ in range(12)]
+    rows = [(k, x, x + 1, y, y + 2, z, z + 1.5) for k, (x, y, z) in enumerate(r.choice(some) for _ in range(150))] + [(200, 0.0, 0.0, 0.0, 2.0, 0.0, 1.5), (201, 0.0, 0.0, 0.0, 2.0, 0.0, 1.5), (202, None, 1.0, 0.0, 2.0, 0.0, 1.5)]
+    got = topology.spatial_pairs(spark.createDataFrame(rows, "id long, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double"), (1.0, 2.0, 2.0))
+    want = []
+    for a in rows[:-1]:
+        for b in rows[:-1]:
+            over = [min(a[k + 1], b[k + 1]) - max(a[k], b[k]) for k in (1, 3, 5)]
+            if a[0] < b[0] and (all(o > 1e-6 for o in over) or sum(o > 1e-6 for o in over) == 2 and min(map(abs, over)) <= 1e-6):
+                want.append((a[0], b[0], "intersects" if min(over) > 1e-6 else "touches"))
+    assert sorted(tuple(x) for x in got.collect()) == sorted(want)
+    assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mesh_parts_of_small_elements_are_not_spread_over_rounds(spark):
     """Each row goes to its element once: no table of edges is checkpointed; large elements, and odd ids, give the same."""
     topology.with_checkpoints(spark)
