@@ -7,6 +7,7 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from graphloom import queries
 from graphloom.functions import terms as T
 from graphloom.operators import archive, compare, entities, matching, model, properties, quantity, reason, sinks, topology
 from graphloom.operators import triples as G
@@ -456,6 +457,14 @@ def test_spatial_pairs_judge_equal_boxes_once(spark):
     assert "Aggregate" in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_touching_pairs_of_flat_copies(spark, sf):
+    """A flat box touches its copies; the query of touching parts deals shapes, not parts, into the grid."""
+    rows = [(k, 0.0, 0.0, 0.0, 2.0, 0.0, 2.0) for k in range(3)] + [(3, 1.0, 2.0, 0.0, 2.0, 0.0, 2.0)]
+    flat = spark.createDataFrame(rows, "id long, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double")
+    assert sorted(tuple(r) for r in topology.spatial_pairs(flat, (1.0, 1.0, 1.0)).collect()) == [(0, 1, "touches"), (0, 2, "touches"), (1, 2, "touches")]
+    assert "Aggregate" in queries.QUERIES["spatial_bbox_touch"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_mesh_parts_of_small_elements_are_not_spread_over_rounds(spark):
     """Each row goes to its element once: no table of edges is checkpointed; large elements, and odd ids, give the same."""
     topology.with_checkpoints(spark)
