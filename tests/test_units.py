@@ -465,6 +465,12 @@ def test_touching_pairs_of_flat_copies(spark, sf):
     assert "Aggregate" in queries.QUERIES["spatial_bbox_touch"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_fuzzy_customers_leave_the_last_join_as_they_are(spark, sf):
+    got = queries.QUERIES["match_fuzzy_blocked"](spark, sf)
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
+    assert got.count() == got.distinct().count()
+
+
 def test_mesh_parts_of_small_elements_are_not_spread_over_rounds(spark):
     """Each row goes to its element once: no table of edges is checkpointed; large elements, and odd ids, give the same."""
     topology.with_checkpoints(spark)
