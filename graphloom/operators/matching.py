@@ -51,61 +51,177 @@ def _codes(keys: list[str]) -> np.ndarray:
 PLACES = 12
 
 
+def _score(hits: np.ndarray, swaps: np.ndarray | int, prefix: np.ndarray, n: int, m: int) -> np.ndarray:
+    jaro = (hits / n + hits / m + (hits - swaps) / np.maximum(hits, 1)) / 3
+    return jaro + prefix * 0.1 * (1 - jaro)
+
+
+#: Letters are counted by code point modulo this, which can only raise the bound on what two keys have in common.
+FOLD = 128
+
+
+class Alike:
+    """Keys of one length, sorted into groups of at most ``most`` that begin with the same four characters and have the same
+    letters, each as often. ``columns``: their code points, a row for each place; ``counts``: of a letter in each group."""
+
+    def __init__(self, keys: list[str], rows: np.ndarray, most: int) -> None:
+        points = _codes(keys)
+        self.n = points.shape[1]
+        start = np.full((len(keys), 4), np.iinfo(np.uint32).max, dtype=np.uint32)
+        start[:, : self.n] = points[:, :4]
+        letters = np.sort((points % FOLD).astype(np.uint8), axis=1)
+        signs = np.concatenate([start.view(np.uint8).reshape(len(keys), -1), letters], axis=1)
+        signs = np.ascontiguousarray(signs).view(np.dtype((np.void, signs.shape[1]))).ravel()
+        order = np.argsort(signs, kind="stable")
+        signs, every = signs[order], np.arange(len(keys))
+        first = np.concatenate([[True], signs[1:] != signs[:-1]])
+        self.starts = np.flatnonzero((every - np.maximum.accumulate(np.where(first, every, 0))) % most == 0)
+        self.sizes = np.diff(np.append(self.starts, len(keys)))
+        self.group = np.repeat(np.arange(len(self.starts)), self.sizes)
+        high = int(points.max())
+        self.rows, self.columns = rows[order], np.ascontiguousarray(points[order].T.astype(np.uint8 if high < 1 << 8 else np.uint16 if high < 1 << 16 else np.uint32))
+        at = order[self.starts]
+        self.prefix, letters = start[at].T.copy(), letters[at]
+        self.counts = {int(c): (letters == c).sum(1).astype(np.uint8 if self.n < 256 else np.uint32) for c in np.unique(letters)}
+
+    def common(self, low: int, high: int, other: Alike) -> tuple[np.ndarray, np.ndarray]:
+        """(letters, prefix) that groups low to high can have in common with each group of ``other``."""
+        shape = high - low, len(other.starts)
+        found, part = np.zeros(shape, dtype=np.uint8 if max(self.n, other.n) < 256 else np.uint32), None
+        for c, mine in self.counts.items():
+            if c not in other.counts:
+                continue
+            mine, theirs = mine[low:high], other.counts[c]
+            if (mine == mine[0]).all() and (theirs == theirs[0]).all():
+                found += min(mine[0], theirs[0])
+                continue
+            part = np.minimum(mine[:, None], theirs[None, :], out=part, dtype=found.dtype)
+            found += part
+        so_far = np.ones(shape, dtype=bool)
+        prefix = np.zeros(shape, dtype=np.uint8)
+        for mine, theirs in zip(self.prefix, other.prefix):
+            so_far &= mine[low:high, None] == theirs[None, :]
+            prefix += so_far
+        return found, prefix
+
+
+def _similar(a: np.ndarray, x: np.ndarray, at_least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, scores) of the pairs of columns of ``a`` and ``x`` whose ``jaro_winkler`` reaches ``at_least``.
+
+    Leading characters that two keys share match each other in place, so those that all pairs share are counted and left
+    out. All pairs take a step together."""
+    (n, pairs), m = a.shape, len(x)
+    reach, at = max(max(n, m) // 2 - 1, 0), 0
+    while at < min(n, m) and (a[at] == x[at]).all():
+        at += 1
+    prefix, same = np.zeros(pairs, dtype=np.int64), np.ones(pairs, dtype=bool)
+    for i in range(min(4, n, m)):
+        same &= a[i] == x[i]
+        prefix += same
+    free, miss, hit = np.ones((m - at, pairs), dtype=bool), np.ones((n - at, pairs), dtype=bool), np.empty(pairs, dtype=bool)
+    for i in range(at, n):
+        for j in range(max(at, i - reach), min(m, i + reach + 1)):
+            np.equal(x[j], a[i], out=hit)
+            hit &= free[j - at]
+            hit &= miss[i - at]
+            free[j - at] ^= hit
+            miss[i - at] ^= hit
+    hits = n - miss.sum(0, dtype=np.int64)
+    some = np.flatnonzero((hits > 0) & (_score(hits, 0, prefix, n, m) >= at_least - 1e-9))
+    # pair by pair, the characters of one key that match and those of the other, each in their own order
+    of, mine = np.nonzero(~miss[:, some].T)
+    _, theirs = np.nonzero(~free[:, some].T)
+    differ = a[at + mine, some[of]] != x[at + theirs, some[of]]
+    swaps = np.bincount(of[differ], minlength=len(some)) // 2
+    scores = np.round(_score(hits[some], swaps, prefix[some], n, m), PLACES)
+    keep = scores >= at_least[some]
+    return some[keep], scores[keep]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which, places) of the places of each range."""
+    which = np.repeat(np.arange(len(starts)), sizes)
+    return which, np.arange(len(which)) + (starts - np.cumsum(sizes) + sizes)[which]
+
+
 class Keys:
-    """Keys of one length as rows of code points; how many leading characters all share, and how often each key has each
-    character after those."""
+    """Distinct keys in groups (``Alike``) by length."""
 
-    def __init__(self, keys: list[str]) -> None:
-        self.keys, self.points = keys, _codes(keys)
-        self.shared = int(np.cumprod((self.points == self.points[0]).all(0)).sum())
-        self.whole, self.rest = self._counts(0), self._counts(self.shared)
+    #: Pairs of groups that are bounded at once, and about how many pairs of keys take a step together.
+    BOUNDED, PAIRS = 1 << 20, 1 << 16
 
-    def _counts(self, start: int) -> dict[int, np.ndarray]:
-        rest = self.points[:, start:]
-        return {int(c): (rest == c).sum(1) for c in np.unique(rest)}
+    def __init__(self, keys: list[str], most: int = 1024) -> None:
+        by_length: dict[int, list[int]] = {}
+        for k, key in enumerate(keys):
+            by_length.setdefault(len(key), []).append(k)
+        self.alike = [Alike([keys[k] for k in rows], np.array(rows), most) for _, rows in sorted(by_length.items())]
 
     def close_to(self, key: str, least: float) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the keys whose ``jaro_winkler`` with ``key`` is ``least`` or more.
-
-        Leading characters that two keys share match each other in place, so those that all keys share are counted and left
-        out. Then a bound: no more of the others can match than both have of each, and none need be swapped."""
-        a, x = _codes([key])[0], self.points
-        n, m = len(a), x.shape[1]
-        at = self.shared if self.shared <= n and (a[: self.shared] == x[0, : self.shared]).all() else 0
-        counts = self.rest if at else self.whole
-        start = min(4, n, m)
-        prefix = np.cumprod(x[:, :start] == a[:start], axis=1).sum(1) if at < start else np.full(len(x), start)
-        most = np.full(len(x), at, dtype=np.int64)
-        for c, k in zip(*(v.tolist() for v in np.unique(a[at:], return_counts=True))):
-            if c in counts:
-                most += np.minimum(counts[c], k)
-
-        def score(hits: np.ndarray, swaps: np.ndarray | int, prefix: np.ndarray) -> np.ndarray:
-            jaro = (hits / n + hits / m + (hits - swaps) / np.maximum(hits, 1)) / 3
-            return jaro + prefix * 0.1 * (1 - jaro)
-
-        rows = np.flatnonzero((most > 0) & (score(most, 0, prefix) >= least - 1e-9))
-        a, x, reach = a[at:], x[rows, at:], max(max(n, m) // 2 - 1, 0)
-        used, hit, every = np.zeros(x.shape, dtype=bool), np.zeros((len(rows), len(a)), dtype=bool), np.arange(len(rows))
-        for i in range(len(a)):
-            low, high = max(0, i - reach), min(x.shape[1], i + reach + 1)
-            if low >= high:
-                continue
-            free = (x[:, low:high] == a[i]) & ~used[:, low:high]
-            j = free.argmax(1)
-            hit[:, i] = free[every, j]
-            used[every, low + j] |= hit[:, i]
-        # row by row, the characters of the key that match and those of the other, each in their own order
-        of, mine = np.nonzero(hit)
-        _, theirs = np.nonzero(used)
-        swaps = np.bincount(of[a[mine] != x[of, theirs]], minlength=len(rows)) // 2
-        hits = at + hit.sum(1)
-        out = np.where(hits > 0, score(hits, swaps, prefix[rows]), 0.0)
-        if n == m:
-            out[(x == a).all(1)] = 1.0
-        out = np.round(out, PLACES)
-        keep = out >= least
-        return rows[keep], out[keep]
+        """(rows, scores) of the keys whose ``jaro_winkler`` with ``key`` is ``least`` or more."""
+        return self.best_for(Keys([key]), least, 2.0, None)[1:]
+
+    def best_for(self, keys: Keys, least: float, ties: float, most_length: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows of ``keys``, rows, scores) of the pairs that reach ``least`` and come within ``ties`` of the best for the
+        key; lengths differ by at most ``most_length``.
+
+        No more characters can match than both have of each, and none need be swapped: a bound that pairs of groups share.
+        A key meets the groups from the greatest bound down, and none whose bound is too far below its best so far."""
+        found = [(np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0))]
+        for mine in keys.alike:
+            others = [x for x in self.alike if most_length is None or abs(x.n - mine.n) <= most_length]
+            step = max(1, self.BOUNDED // max(1, sum(len(x.starts) for x in others)))
+            for low in range(0, len(mine.starts) if others else 0, step):
+                found += self._best(mine, low, min(low + step, len(mine.starts)), others, least, ties)
+        return tuple(np.concatenate(x) for x in zip(*found))
+
+    def _best(self, mine: Alike, low: int, high: int, others: list[Alike], least: float, ties: float) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        bounds = []
+        for x in others:
+            most = np.arange(min(mine.n, x.n) + 1)
+            bound = np.stack([_score(most, 0, min(p, mine.n, x.n), mine.n, x.n) for p in range(5)])
+            bound[:, 0] = -1.0
+            bounds.append(bound)
+        levels = np.unique(np.concatenate([b.ravel() for b in bounds]))
+        levels = levels[levels >= max(least, 0.0) - 1e-9]
+        rank = []
+        for x, bound in zip(others, bounds):
+            letters, prefix = mine.common(low, high, x)
+            ranks = np.where(bound >= max(least, 0.0) - 1e-9, np.searchsorted(levels, bound), len(levels)).astype(np.uint16)
+            rank.append(ranks.ravel()[prefix * np.uint32(bound.shape[1]) + letters])
+        known = [np.bincount(r.ravel(), minlength=len(levels)) for r in rank]
+        offset, last = mine.starts[low], mine.starts[high] if high < len(mine.starts) else len(mine.rows)
+        best, found = np.zeros(last - offset), []
+        for k in range(len(levels) - 1, -1, -1):
+            open_ = levels[k] + ties + 1e-9 >= best
+            if not open_.any():
+                break
+            groups = np.flatnonzero(np.logical_or.reduceat(open_, mine.starts[low:high] - offset))
+            for x, r, n in zip(others, rank, known):
+                if not n[k]:
+                    continue
+                u, v = np.nonzero(r[groups] == k)
+                u = low + groups[u]
+                pairs = np.cumsum(mine.sizes[u] * x.sizes[v])
+                cuts = np.searchsorted(pairs, np.arange(self.PAIRS, pairs[-1] if len(pairs) else 0, self.PAIRS))
+                for i, j in zip([0, *cuts], [*cuts, len(u)]):
+                    if i == j:
+                        continue
+                    which, left = _ranges(mine.starts[u[i:j]], mine.sizes[u[i:j]])
+                    some = open_[left - offset]
+                    which, left = v[i:j][which[some]], left[some]
+                    of, right = _ranges(x.starts[which], x.sizes[which])
+                    if not len(of):
+                        continue
+                    left = left[of]
+                    at, scores = _similar(mine.columns[:, left], x.columns[:, right], np.maximum(least, best[left - offset] - ties - 1e-9))
+                    left, right = left[at], right[at]
+                    np.maximum.at(best, left - offset, scores)
+                    found.append((left, x.rows[right], scores))
+        out = []
+        for left, right, scores in found:
+            keep = scores + ties >= best[left - offset]
+            out.append((mine.rows[left[keep]], right[keep], scores[keep]))
+        return out
 
 
 def cascade(queries: DataFrame, index: DataFrame) -> DataFrame:
@@ -127,61 +243,93 @@ def cascade(queries: DataFrame, index: DataFrame) -> DataFrame:
     return out.select("id", level.alias("level"), status.alias("status"), code.alias("code"), confidence.alias("confidence"))
 
 
-#: Keys of a block of the fuzzy join, on either side: a task compares two blocks.
-FUZZY_BLOCK = 2048
+#: Keys of a part of a block of the fuzzy join: those asked for, and those of the index. A task compares two parts.
+FUZZY_ASKED, FUZZY_KNOWN = 1 << 14, 1 << 18
 
 
 def _compared(least: float, ties: float, most_length: int):
-    """Two blocks: the pairs that reach ``least`` and come within ``ties`` of the best that the block has for a key."""
+    """Two parts: a row for each key, with the keys that reach ``least`` and come within ``ties`` of the best that the part
+    has for it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        rows: list[tuple[str, str, str, float]] = []
-        by_length: dict[int, list[str]] = {}
-        for key in dict.fromkeys(right.column("key").to_pylist()):
-            by_length.setdefault(len(key), []).append(key)
-        known = {n: Keys(keys) for n, keys in by_length.items()}
+        asked, known = left.column("key").combine_chunks(), right.column("key").combine_chunks()
+        if len(asked) and len(known):
+            rows, others, scores = Keys(known.to_pylist()).best_for(Keys(asked.to_pylist(), 64), least, ties, most_length)
+        else:
+            rows, others, scores = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)
+        order = np.argsort(rows, kind="stable")
+        rows, others, scores = rows[order], others[order], scores[order]
+        starts = np.flatnonzero(np.diff(rows, prepend=-1))
+        close = pa.StructArray.from_arrays([known.take(pa.array(others)), pa.array(scores)], ["other", "score"])
+        close = pa.ListArray.from_arrays(pa.array(np.append(starts, len(rows)), pa.int32()), close)
+        best = np.maximum.reduceat(scores, starts) if len(starts) else scores
         cls = left.column("cls")[0].as_py() if left.num_rows else None
-        for key in left.column("key").to_pylist() if right.num_rows else []:
-            found = [(known[n].keys[r], s) for n in known if abs(n - len(key)) <= most_length for r, s in zip(*(x.tolist() for x in known[n].close_to(key, least)))]
-            best = max((s for _, s in found), default=0.0)
-            rows += [(cls, key, other, s) for other, s in found if s + ties >= best]
-        return pa.table({"cls": pa.array([r[0] for r in rows], pa.string()), "key": pa.array([r[1] for r in rows], pa.string()), "other": pa.array([r[2] for r in rows], pa.string()), "score": pa.array([r[3] for r in rows], pa.float64())})
+        return pa.table({"cls": pa.array([cls] * len(starts), pa.string()), "key": asked.take(pa.array(rows[starts])).cast(pa.string()), "best": pa.array(best, pa.float64()), "close": close.cast(pa.list_(pa.struct([("other", pa.string()), ("score", pa.float64())])))})
 
     return run
 
 
-def close_keys(keys: DataFrame, index: DataFrame, least: float = 0.94, ties: float = 0.02, most_length: int = 3) -> DataFrame:
-    """(cls, key, other, score): for each distinct key of ``keys`` (cls, key) those of ``index`` (cls, key) in the same block
-    (class and first character), of a length that differs by at most ``most_length``, with a similarity of ``least`` or more
-    and within ``ties`` of the key's best.
-
-    Each side of a block is cut into parts of about FUZZY_BLOCK keys; a part meets every part of the other side, so a block
-    that holds everything is as many tasks as it needs, and a pair is compared once."""
+def _close(keys: DataFrame, index: DataFrame, least: float, ties: float, most_length: int) -> DataFrame:
+    """(cls, key, close) of distinct keys: an array of (other, score), see ``close_keys``."""
     first = lambda df: df.where("cls IS NOT NULL AND key <> ''").select("cls", "key", F.substring("key", 1, 1).alias("first")).distinct()
     left, right = first(keys), first(index)
-    parts = lambda df, name: df.groupBy("cls", "first").agg(F.ceil(F.count("*") / FUZZY_BLOCK).cast("int").alias(name))
-    blocks = parts(left, "ln").join(parts(right, "rn"), ["cls", "first"])
+    parts = lambda df, most, name: df.groupBy("cls", "first").agg(F.ceil(F.count("*") / most).cast("int").alias(name))
+    blocks = parts(left, FUZZY_ASKED, "ln").join(parts(right, FUZZY_KNOWN, "rn"), ["cls", "first"])
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
     left = left.join(blocks, ["cls", "first"]).select("cls", "key", "first", own("ln").alias("i"), every("rn").alias("j"))
     right = right.join(blocks, ["cls", "first"]).select("cls", "key", "first", every("ln").alias("i"), own("rn").alias("j"))
     at = ["cls", "first", "i", "j"]
-    scored = left.groupBy(*at).cogroup(right.groupBy(*at)).applyInArrow(_compared(least, ties, most_length), "cls string, key string, other string, score double")
-    return scored.withColumn("best", F.max("score").over(Window.partitionBy("cls", "key"))).where(F.col("score") + ties >= F.col("best")).drop("best")
+    # a number of partitions that is asked for stays: a few rows are much work, and would be put together into one task
+    n = max(64, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    sides = left.repartition(n, *at).groupBy(*at).cogroup(right.repartition(n, *at).groupBy(*at))
+    scored = sides.applyInArrow(_compared(least, ties, most_length), "cls string, key string, best double, close array<struct<other string, score double>>")
+    best = F.max("best").over(Window.partitionBy("cls", "key"))
+    return scored.select("cls", "key", "close", best.alias("best")).select("cls", "key", F.filter("close", lambda x: x["score"] + ties >= F.col("best")).alias("close"))
+
+
+def close_keys(keys: DataFrame, index: DataFrame, least: float = 0.94, ties: float = 0.02, most_length: int = 3) -> DataFrame:
+    """(cls, key, other, score): for each distinct key of ``keys`` (cls, key) those of ``index`` (cls, key) in the same block
+    (class and first character), of a length that differs by at most ``most_length``, with a similarity of ``least`` or more
+    and within ``ties`` of the key's best.
+
+    Each side of a block is cut into parts of about FUZZY_ASKED and FUZZY_KNOWN keys; a part meets every part of the other
+    side, so a block that holds everything is as many tasks as it needs, and a pair is met once. Within two parts, keys meet
+    by groups of the same letters, and only groups whose bound can still reach what a key's best asks for (``Keys``)."""
+    return _close(keys, index, least, ties, most_length).select("cls", "key", F.inline("close"))
+
+
+#: Values in a list of ``_lists``.
+LIST = 1024
+
+
+def _lists(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value): arrays of at most LIST structs of ``value``, as many as it takes."""
+    at = F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(value)) - 1) / LIST)
+    return rows.select(*by, value, at.alias("_at")).groupBy(*by, "_at").agg(F.collect_list(F.struct(value)).alias(value)).drop("_at")
+
 
+def fuzzy(queries: DataFrame, index: DataFrame, least: float = 0.94, ties: float = 0.02, most_length: int = 3, places: int | None = None) -> DataFrame:
+    """id, code, score (rounded to ``places``, if given) of each query's best candidates (see ``close_keys``). ``queries``:
+    id, cls, key; ``index``: cls, key, code. Distinct keys are compared once, whatever the number of queries that share one.
+    A code that several keys of the index lead to counts with its best score.
 
-def fuzzy(queries: DataFrame, index: DataFrame, least: float = 0.94, ties: float = 0.02, most_length: int = 3) -> DataFrame:
-    """id, code, score of each query's best candidates (see ``close_keys``). ``queries``: id, cls, key; ``index``: cls, key,
-    code. Distinct keys are compared once, whatever the number of queries that share one. A code that several keys of the
-    index lead to counts with its best score. Rows can only repeat for an id that comes with several keys; without one, they
-    are not compared with each other, and go out of the last join as they are."""
+    Pairs of keys meet lists of ids and of codes, which are expanded last, so that a row costs little more than itself.
+    Rows can only repeat for an id that comes with several keys, and scores only differ for a code that does: without such,
+    rows are not compared with each other."""
     queries = queries.select("id", "cls", "key").distinct()
-    close = close_keys(queries, index, least, ties, most_length)
-    coded = close.join(index.select("cls", F.col("key").alias("other"), "code").distinct(), ["cls", "other"])
-    best = coded.groupBy("cls", "key", "code").agg(F.max("score").alias("score"))
-    found = queries.join(best, ["cls", "key"]).select("id", "code", "score")
-    several = queries.groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
-    return found if several.isEmpty() else found.distinct()
+    known = index.select("cls", F.col("key").alias("other"), "code").distinct()
+    several = lambda df, *by: not df.groupBy(*by).agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    close, ids = _close(queries, index, least, ties, most_length), _lists(queries, ["cls", "key"], "id")
+    rounded = lambda df: df if places is None else df.withColumn("score", F.round("score", places))
+    if several(known, "cls", "code"):
+        coded = rounded(close.select("cls", "key", F.inline("close"))).join(known, ["cls", "other"])
+        coded = coded.groupBy("cls", "key", "code").agg(F.max("score").alias("score"))
+        found = ids.join(coded, ["cls", "key"]).select(F.inline("id"), "code", "score")
+    else:
+        pairs = rounded(close.join(ids, ["cls", "key"]).select("cls", "id", F.inline("close")))
+        found = pairs.join(_lists(known, ["cls", "other"], "code"), ["cls", "other"]).select(F.inline("id"), "code", "score").select("id", F.inline("code"), "score")
+    return found.distinct() if several(queries, "id") else found
 
 
 @dataclass(frozen=True)

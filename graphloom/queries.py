@@ -478,7 +478,7 @@ def fuzzy_customers(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
     typo = F.concat(F.substring("c_name", 1, 10), F.substring("c_name", 12, 100))
     asked = c.select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("cls"), F.when(F.col("c_custkey") % 3 == 0, F.col("c_name")).otherwise(typo).alias("key"))
     index = c.select(F.col("c_mktsegment").alias("cls"), F.col("c_name").alias("key"), F.col("c_custkey").cast("string").alias("code"))
-    return matching.fuzzy(asked, index, **options).withColumn("score", F.round("score", 6))
+    return matching.fuzzy(asked, index, places=6, **options)
 
 
 @query(FUZZY_SQL.format("0.94", "0.02"))

@@ -465,6 +465,45 @@ def test_touching_pairs_of_flat_copies(spark, sf):
     assert "Aggregate" in queries.QUERIES["spatial_bbox_touch"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_keys_meet_only_groups_that_can_hold_their_best(monkeypatch):
+    """Of all pairs of names a few are compared, and the result is that of the plain similarity, however the work is cut."""
+    met, similar = [], matching._similar
+    monkeypatch.setattr(matching, "_similar", lambda a, x, least: met.append(a.shape[1]) or similar(a, x, least))
+    names = [f"Customer#{k:09d}" for k in range(0, 60000, 20)]
+    asked = [n if k % 3 == 0 else n[:10] + n[11:] for k, n in enumerate(names)]
+    rows, others, scores = matching.Keys(names).best_for(matching.Keys(asked, 64), 0.94, 0.02, 3)
+    assert sum(met) < len(names) * len(asked) / 10
+    for k in (0, 1, 1500, 2999):
+        every = {j: round(matching.jaro_winkler(asked[k], n), 12) for j, n in enumerate(names)}
+        want = {j: s for j, s in every.items() if s >= 0.94 and s + 0.02 >= max(every.values())}
+        assert dict(zip(others[rows == k].tolist(), scores[rows == k].tolist())) == pytest.approx(want)
+    r = random.Random(7)
+    for letters, start in (("ab", ""), ("abc01", "Customer#"), ("ab\u00e9\u4e2d\U0001f600", "x")):
+        left, right = (sorted({start + "".join(r.choice(letters) for _ in range(r.randrange(1, 8))) for _ in range(120)}) for _ in range(2))
+        for least, ties, most in ((0.5, 0.1, 3), (0.8, 0.0, 1), (0.94, 0.02, 0)):
+            monkeypatch.setattr(matching.Keys, "BOUNDED", r.choice([1, 70, 1 << 20]))
+            monkeypatch.setattr(matching.Keys, "PAIRS", r.choice([3, 100]))
+            found = matching.Keys(right, r.choice([1, 3])).best_for(matching.Keys(left, 2), least, ties, most)
+            got = {(left[i], right[j]): s for i, j, s in zip(*(x.tolist() for x in found))}
+            want = {}
+            for k in left:
+                every = {(k, o): s for o in right if abs(len(k) - len(o)) <= most and (s := round(matching.jaro_winkler(k, o), 12)) >= least}
+                want |= {p: s for p, s in every.items() if s + ties >= max(every.values())}
+            assert len(found[0]) == len(got) and got == pytest.approx(want)
+
+
+def test_fuzzy_lists_of_ids_and_codes(spark, monkeypatch):
+    """Lists are cut and expanded whole, nulls among them; codes of several keys count with their best score."""
+    monkeypatch.setattr(matching, "LIST", 2)
+    q = spark.createDataFrame([(k, "c", "abcdefgh") for k in range(5)] + [(None, "c", "abcdefgh")], "id int, cls string, key string")
+    i = spark.createDataFrame([("c", "abcdefgh", str(k)) for k in range(5)] + [("c", "abcdefgh", None), ("c", "abcdefgx", "y")], "cls string, key string, code string")
+    got = [(r["id"], r["code"]) for r in matching.fuzzy(q, i, least=0.9, ties=0.001).collect()]
+    assert sorted(got, key=repr) == sorted([(a, b) for a in [*range(5), None] for b in ["0", "1", "2", "3", "4", None]], key=repr)
+    both = i.union(spark.createDataFrame([("c", "abcdefgx", "0")], i.schema))
+    rows = [tuple(r) for r in matching.fuzzy(q.where("id = 1"), both, least=0.9, ties=0.2, places=3).collect()]
+    assert sorted(rows, key=repr) == sorted([(1, "0", 1.0), (1, "1", 1.0), (1, "2", 1.0), (1, "3", 1.0), (1, "4", 1.0), (1, None, 1.0), (1, "y", 0.95)], key=repr)
+
+
 def test_fuzzy_customers_leave_the_last_join_as_they_are(spark, sf):
     got = queries.QUERIES["match_fuzzy_blocked"](spark, sf)
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString().split("Join")[0]
