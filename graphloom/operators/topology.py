@@ -6,7 +6,7 @@ import tempfile
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -70,6 +70,10 @@ def _gap(axis: str) -> Column:
     return F.greatest(F.col(f"a.{axis}_min"), F.col(f"b.{axis}_min")) - F.least(F.col(f"a.{axis}_max"), F.col(f"b.{axis}_max"))
 
 
+#: Members of a shape in one list; two lists are expanded in one task.
+LIST = 1024
+
+
 def spatial_pairs(boxes: DataFrame, cell: tuple[float, float, float] | None = None, tol: float = 1e-6) -> DataFrame:
     """(a, b, kind) with a < b of boxes that intersect on all axes by more than ``tol``, or touch: a gap of at most ``tol``
     (or an overlap of at most that) on one axis and an overlap on the two others.
@@ -80,14 +84,19 @@ def spatial_pairs(boxes: DataFrame, cell: tuple[float, float, float] | None = No
     to judge there unless their corners say so, which the join tests before anything else. A cell should be about twice a
     box in size (the default takes twice the mean extents: one aggregation), so that a box reaches eight at most.
 
-    Boxes of equal corners are judged as one shape, each pair of shapes once; then members meet by their shapes alone, so
-    copies cost what they add to the result."""
+    Boxes of equal corners are judged as one shape, each pair of shapes once. Members of a shape come in lists of at most
+    LIST; lists meet by their shapes alone and are expanded last, so copies cost what they add to the result, and those of
+    one shape are dealt to as many tasks as they have lists."""
     if cell is None:
         means = boxes.agg(*[F.avg(F.col(f"{x}_max") - F.col(f"{x}_min")).alias(x) for x in AXES]).first()
         cell = tuple(max(2 * (means[x] or 0.0), 1e-3) for x in AXES)
     corners = [f"{x}_{end}" for x in AXES for end in ("min", "max")]
-    members = boxes.select("id", F.struct(*corners).alias("shape"))
-    shapes = boxes.select(*corners).distinct().withColumn("shape", F.struct(*corners))
+    at = F.floor((F.row_number().over(Window.partitionBy("shape").orderBy("id")) - 1) / LIST)
+    # text, as Spark deals rows by doubles only after it normalises them, so not as they were asked to be dealt; no -0.0
+    shape = F.concat_ws(" ", *[(F.col(c) + 0).cast("string") for c in corners])
+    lists = boxes.where(" AND ".join(f"{c} IS NOT NULL" for c in corners)).select("id", *corners, shape.alias("shape")).withColumn("at", at)
+    lists = lists.groupBy("shape", "at").agg(F.collect_list("id").alias("ids"), *[F.any_value(c).alias(c) for c in corners])
+    shapes = lists.groupBy("shape").agg((F.max("at") + 1).alias("n"), *[F.any_value(c).alias(c) for c in corners])
     own = shapes.withColumns({f"l{x}": F.floor((F.col(f"{x}_min") - tol) / c) for x, c in zip(AXES, cell)})
     dealt = own
     for x, c in zip(AXES, cell):
@@ -101,9 +110,15 @@ def spatial_pairs(boxes: DataFrame, cell: tuple[float, float, float] | None = No
     meets = [F.abs(_gap(x)) <= tol for x in AXES]
     touch = (meets[0] & over[1] & over[2]) | (over[0] & meets[1] & over[2]) | (over[0] & over[1] & meets[2])
     kind = F.when(over[0] & over[1] & over[2], "intersects").when(touch, "touches")
-    judged = pairs.select(F.col("a.shape").alias("left"), F.col("b.shape").alias("right"), kind.alias("kind")).where("kind is not null")
-    judged = judged.join(members.select(F.col("id").alias("i"), F.col("shape").alias("left")), "left").withColumn("same", F.col("left") == F.col("right"))
-    met = judged.select("i", "right", "same", "kind").join(members.select(F.col("id").alias("j"), F.col("shape").alias("right")), "right")
+    judged = pairs.select(F.col("a.shape").alias("left"), F.col("b.shape").alias("right"), F.col("a.n").alias("ln"), F.col("b.n").alias("rn"), kind.alias("kind")).where("kind is not null")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    judged = judged.withColumn("same", F.col("left") == F.col("right")).withColumn("li", every("ln")).withColumn("ri", every("rn"))
+    judged = judged.where(~F.col("same") | (F.col("li") <= F.col("ri"))).select("left", "li", "right", "ri", "same", "kind")
+    met = judged.join(lists.select(F.col("shape").alias("left"), F.col("at").alias("li"), F.col("ids").alias("i")), ["left", "li"])
+    # a number of partitions that is asked for stays: a few lists are many pairs, and would be put together into one task
+    n = max(64, int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = met.repartition(n, "right", "ri").join(lists.select(F.col("shape").alias("right"), F.col("at").alias("ri"), F.col("ids").alias("j")), ["right", "ri"])
+    met = met.select("same", "kind", "j", F.explode("i").alias("i")).select("same", "kind", "i", F.explode("j").alias("j"))
     met = met.where((F.col("i") < F.col("j")) | (~F.col("same") & (F.col("i") > F.col("j"))))
     return met.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), "kind")
 

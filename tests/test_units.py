@@ -465,6 +465,18 @@ def test_touching_pairs_of_flat_copies(spark, sf):
     assert "Aggregate" in queries.QUERIES["spatial_bbox_touch"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_copies_of_a_box_are_dealt_to_several_tasks(spark, monkeypatch):
+    """Members of two shapes that touch meet list by list, each pair once; no number of members makes it one task."""
+    monkeypatch.setattr(topology, "LIST", 10)
+    rows = [(k, 0.0 if k % 2 else -0.0, 1.0, 0.0, 2.0, 0.0, 2.0) for k in range(0, 75)] + [(k, 1.0, 2.0, 0.0, 2.0, 0.0, 2.0) for k in range(75, 120)]
+    got = topology.spatial_pairs(spark.createDataFrame(rows, "id long, x_min double, x_max double, y_min double, y_max double, z_min double, z_max double"), (1.0, 2.0, 2.0))
+    parts = {tuple(r) for r in got.select("a", "b", "kind").collect()}
+    assert parts == {(a, b, "touches" if a < 75 <= b else "intersects") for a in range(120) for b in range(a + 1, 120)} and got.count() == 120 * 119 // 2
+    for kind in ("touches", "intersects"):
+        tasks = got.where(F.col("kind") == kind).select(F.spark_partition_id().alias("t")).groupBy("t").count().collect()
+        assert len(tasks) > 2
+
+
 def test_keys_meet_only_groups_that_can_hold_their_best(monkeypatch):
     """Of all pairs of names a few are compared, and the result is that of the plain similarity, however the work is cut."""
     met, similar = [], matching._similar
