@@ -220,6 +220,9 @@ def classify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     rows = [c for c in rows if votes(c).strip("-")]
     y = np.array([good.get(votes(c), 0.5) for c in rows])
     model = Linear().fit(np.stack([hashed(c) for c in rows]), y) if len(rows) and y.min() < 0.5 < y.max() else None
+    rows.clear()
+    shapes.clear()
+    release()  # the driver's memory
 
     @F.pandas_udf("double")
     def quality(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

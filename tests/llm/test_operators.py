@@ -57,6 +57,32 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_many_edges_take_rounds_and_are_the_same(spark):
+    r = random.Random(3)
+    pairs = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(500)] + [(k, k + 1) for k in range(1000, 1200)] + [(2000, 2001 + k) for k in range(100)]
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(7)
+    at_once = sorted(components(edges).collect())
+    assert at_once == sorted(components(edges, at_once=3).collect()) == sorted(components(edges, at_once=150).collect())
+    up = {x: x for pair in pairs for x in pair if pair[0] != pair[1]}
+    for _ in range(len(up)):
+        before = dict(up)
+        for a, b in pairs:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+        if up == before:
+            break
+    assert at_once == sorted(up.items())
+
+
+def test_components_of_few_edges_take_few_jobs(spark):
+    # the driver's memory grows with each exchange, broadcast and job that it plans: a path of 600 took rounds of joins
+    edges = spark.createDataFrame([(k, k + 1) for k in range(600)], "a long, b long")
+    jobs = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = jobs()
+    assert components(edges).where("component_id = 0").count() == 601
+    assert jobs() - before <= 8
+
+
 def brute_components(rows):
     sets = {}
     for i, t in rows:
